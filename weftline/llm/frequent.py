@@ -23,7 +23,9 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -128,7 +130,7 @@ def heavy_hitters(df: DataFrame, keys: list[str], share: float, width: int = 409
     while True:
         s = build_sketch(hashed, width, depth, seed)
         total = int(s.v.reshape(depth, width).sum(axis=1)[0])
-        least = -(-total * share // 1)
+        least = math.ceil(Fraction(str(share)) * total)
         if total == 0 or s.complete_above() < least:
             break
         width, seed = 2 * width, seed + 1

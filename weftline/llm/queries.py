@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import frequent, normalize
+from weftline.llm import frequent, leakage, normalize
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def p5_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return frequent.heavy_hitters(_t(spark, sf, "extracted_entity"), ["label", "text"], 0.004, exact=False)
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.find_passages(_t(spark, sf, "documents"), _t(spark, sf, "eval_item")).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents carry each test item, and the largest part of it that one of them carries."""
+    found = leakage.find_passages(_t(spark, sf, "documents"), _t(spark, sf, "eval_item"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max(F.col("n_found") / F.col("n_words")).alias("most"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
