@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import frequent, leakage, normalize
+from weftline.llm import frequent, leakage, names, normalize
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.with_form(_t(spark, sf, "test_sentences").select("sent_id", "text"), "text").select("sent_id", "form")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.link_mentions(_t(spark, sf, "extracted_entity"), _t(spark, sf, "known_entity"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return frequent.heavy_hitters(_t(spark, sf, "extracted_entity"), ["label", "text"], 0.004).select("label", "text")
 
