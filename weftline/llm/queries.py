@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import frequent, leakage, names, normalize
+from weftline.llm import frequent, leakage, names, normalize, sentences
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split_sentences(_t(spark, sf, "test_sentences"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     s = _t(spark, sf, "test_sentences").select(F.lit("test_sentences").alias("tbl"), F.col("sent_id").alias("id"), F.lit(None).cast("bigint").alias("grp"), "text")
     e = _t(spark, sf, "extracted_entity").filter("sent_id is not null").select(F.lit("extracted_entity").alias("tbl"), F.col("entity_id").alias("id"), F.col("sent_id").alias("grp"), "text")
