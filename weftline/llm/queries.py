@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import frequent, leakage, names, normalize, sentences
+from weftline.llm import frequent, language, leakage, names, normalize, sentences
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.mislabelled(_t(spark, sf, "test_sentences"))
+
+
+def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every single-language segment of every text."""
+    return language.segments(language.classify_units(_t(spark, sf, "test_sentences")))
+
+
+def p1_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The main language of every text."""
+    return language.text_languages(language.classify_units(_t(spark, sf, "test_sentences")))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(_t(spark, sf, "test_sentences"))
 
