@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import frequent, language, leakage, names, normalize, sentences
+from weftline.llm import budget, chunking, frequent, language, leakage, names, normalize, packing, sentences
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def p5_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return frequent.heavy_hitters(_t(spark, sf, "extracted_entity"), ["label", "text"], 0.004, exact=False)
 
 
+def p6_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return budget.token_budget(_t(spark, sf, "test_sentences"))
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_t(spark, sf, "documents"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.find_passages(_t(spark, sf, "documents"), _t(spark, sf, "eval_item")).select("doc_id", "item_id")
 
@@ -64,6 +72,10 @@ def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max(F.col("n_found") / F.col("n_words")).alias("most"))
 
 
+def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunk_texts(_t(spark, sf, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
