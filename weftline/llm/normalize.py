@@ -131,6 +131,36 @@ def active_pattern() -> str:
     return f"[^{_tables()[1]}]"
 
 
+#: Ranges that hold most of what is written; whatever in them is not inert is taken out again.
+_COMMON = ((0x09, 0x0A), (0x20, 0x7E), (0xA1, 0x17E), (0x2010, 0x2027), (0x20AC, 0x20AC), (0x3001, 0x3002), (0x300C, 0x300F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF))
+
+
+@lru_cache(maxsize=1)
+def common_class() -> str:
+    """A short Java class of inert code points, cheap to test; it decides for most texts without ``active_pattern``."""
+    bad = re.compile(active_class())
+    spans: list[list[int]] = []
+    for a, b in _COMMON:
+        for cp in range(a, b + 1):
+            if bad.match(chr(cp)):
+                continue
+            if spans and spans[-1][1] == cp - 1:
+                spans[-1][1] = cp
+            else:
+                spans.append([cp, cp])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+
+
+def active_class() -> str:
+    """``active_pattern`` for Python."""
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m.group(1), 16):04x}", active_pattern())
+
+
+def is_active(text: Column) -> Column:
+    """Whether the table touches a text: a few ranges first, the whole class only for what they leave open."""
+    return F.coalesce(text.rlike(f"[^{common_class()}]") & text.rlike(active_pattern()), F.lit(False))
+
+
 def mapping_table(spark: SparkSession) -> DataFrame:
     """cp int, parts array<struct<ch, ccc>>; at most as many rows as Unicode has code points with a mapping."""
     schema = "cp int, parts array<struct<ch:string,ccc:int>>"
@@ -172,17 +202,18 @@ def text_key(text: Column) -> list[Column]:
 def fold_active(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(h1, h2, form) of the distinct texts given; meant for texts that match ``active_pattern``.
 
-    One exchange places whole texts; the explosions, the broadcast join, the window and the
+    A run of inert code points stays one element, since nothing in it can change or move; every other
+    code point is an element of its own. One exchange places whole texts; the explosions, the broadcast join, the window and the
     aggregation all keep that placement, so code points never travel.
     """
     spark = texts.sparkSession
     keyed = texts.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).distinct()
     keyed = keyed.select(*text_key(F.col("t")), "t").repartition("h1", "h2")
-    points = keyed.select("h1", "h2", F.posexplode(F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    points = keyed.select("h1", "h2", F.posexplode(F.regexp_extract_all("t", F.lit(f"[{common_class()}]+|(?s:.)"), F.lit(0))).alias("pos", "ch"))
     known = F.broadcast(mapping_table(spark))
     alone = F.array(F.struct(F.col("ch").alias("ch"), F.lit(0).alias("ccc")))
     parts = (
-        points.join(known, F.ascii("ch") == F.col("cp"), "left")
+        points.join(known, F.when(F.length("ch") == 1, F.ascii("ch")) == F.col("cp"), "left")
         .select("h1", "h2", "pos", F.posexplode_outer(F.coalesce("parts", alone)).alias("sub", "p"))
         .select("h1", "h2", "pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("p.ch", F.lit("")).alias("ch"), F.coalesce("p.ccc", F.lit(0)).alias("ccc"))
     )
@@ -204,8 +235,7 @@ def with_form(df: DataFrame, text_col: str, out: str = "form", script: bool = Tr
     inner = [f"_in{i}" for i in range(len(names))]
     d = df.toDF(*inner)
     t = F.col(inner[names.index(text_col)])
-    active = F.coalesce(t.rlike(active_pattern()), F.lit(False))
-    d = d.withColumn("_active", active)
+    d = d.withColumn("_active", is_active(t))
     forms = fold_active(d.filter("_active").select(t.alias("text")))
     if script:
         forms = forms.withColumn("form", restore_script("form"))
@@ -227,7 +257,7 @@ def same_look_pairs(rows: DataFrame) -> DataFrame:
     touches cannot be in a pair and are dropped by key before the joins.
     """
     base = rows.filter(F.col("text").isNotNull() & F.col("id").isNotNull()).select("tbl", "id", "grp", "text")
-    base = base.withColumn("active", F.col("text").rlike(active_pattern()))
+    base = base.withColumn("active", is_active(F.col("text")))
     forms = fold_active(base.filter("active").select("text")).select("h1", "h2", *[c.alias(n) for c, n in zip(text_key(F.col("form")), ("s1", "s2"), strict=True)])
     ids = ["tbl", "id", "grp", "h1", "h2"]
     keys = [F.xxhash64("tbl", "grp", "s1", "s2").alias("k"), F.xxhash64("s2", "s1", "grp", "tbl").alias("k2")]
