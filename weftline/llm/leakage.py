@@ -1,16 +1,17 @@
 """Problem 8: held-out test passages inside a training corpus.
 
-A document-partitioned positional inverted index: each batch of documents becomes one segment, a
-row per term holding its postings (document, position). Only terms that the query passages use are
-stored (the term predicate is pushed into the build). The index is written once; document
-frequencies, seed lookups and every block of queries read it.
+A document-partitioned positional inverted index: up to 1024 documents become one segment, a small
+inverted index of its own with the postings (document, position) of its terms. Only terms that the
+query passages use are stored (the term predicate is pushed into the build). The index is written
+once and read twice, for document frequencies and for the search; postings are never shuffled.
 
 A query takes its rarest terms by document frequency. If a document carries at least ``share`` of a
 passage's n words, then of any ``rare`` * n words at least (rare + share - 1) * n are present, so
 offset-adjusted lists (position - offset) of the rarest terms alone find every candidate: the seed
 lists are counted per document, passage and band of offsets, which overlap so that no stretch is
-cut. Candidates are then aligned exactly over all their words (proximity match), or checked for
-consecutive positions (phrase match).
+cut. For the candidates the lists of all words are intersected: matches count that have company on
+their diagonal, and the longest chain of them in one stretch decides (proximity match), or
+consecutive positions of the whole passage (phrase match).
 
 Queries are handled in blocks of at most ``block`` passages; only a block is ever broadcast.
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,11 @@ _DENSE = "฀-๿぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(rf"[{_DENSE}]|[^\W_{_DENSE}]+")
 _MARKS = re.compile("[̀-ͯ]+")
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
-INDEX = "term int, df int, docs array<bigint>, pos array<int>"
+#: One row per segment: its document ids and, as packed numbers, its terms in order, where the postings
+#: of each begin, their document frequencies, and the postings themselves (document in the segment, position).
+INDEX = "docs binary, term binary, start binary, df binary, doc binary, pos binary"
+SEGMENT_DOCS, SEGMENT_CHARS = 1024, 4_000_000
+_DOC, _ITEM, _OFF = 52, 39, 26  # bit fields of a hit: document, passage, diagonal and offset or offset and diagonal
 
 
 def words(text: str) -> list[str]:
@@ -62,48 +67,84 @@ def passages(items: list[tuple[int, str]], shared: int = 3) -> dict[int, list[st
 
 
 def build_index(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings of ``terms`` (their numbers are their places in the list) in all documents, written to the shared folder."""
+    """The segments of all documents for ``terms`` (their numbers are their places in the list), written to the shared folder."""
     number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
+    def packed(ids: list[int], coded: list[np.ndarray]) -> dict[str, bytes]:
+        doc = np.repeat(np.arange(len(ids), dtype=np.int16), [len(c) for c in coded])
+        term = np.concatenate(coded)
+        at = np.concatenate([np.arange(len(c), dtype=np.int32) for c in coded])
+        known = term >= 0
+        term, doc, at = term[known], doc[known], at[known]
+        order = np.argsort(term, kind="stable")
+        term, doc, at = term[order], doc[order], at[order]
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])] if len(term) else np.zeros(0, bool)
+        df = np.add.reduceat(new.astype(np.int32), first).astype(np.int32) if len(term) else np.zeros(0, np.int32)
+        return {
+            "docs": np.array(ids, dtype=np.int64).tobytes(), "term": term[first].astype(np.int32).tobytes(), "start": np.r_[first, len(term)].astype(np.int32).tobytes(),
+            "df": df.tobytes(), "doc": doc.astype(np.int16).tobytes(), "pos": at.astype(np.int32).tobytes(),
+        }
+
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = number.value.get
+        ids, coded, chars = [], [], 0
         for b in batches:
-            term, doc, pos = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if d is None or not t:
                     continue
-                ids = np.array([get(w, -1) for w in words(t)], dtype=np.int32)
-                at = np.flatnonzero(ids >= 0).astype(np.int32)
-                term.append(ids[at])
-                pos.append(at)
-                doc.append(np.full(len(at), d, dtype=np.int64))
-            if not term or not sum(map(len, term)):
-                continue
-            term, doc, pos = np.concatenate(term), np.concatenate(doc), np.concatenate(pos)
-            order = np.argsort(term, kind="stable")
-            term, doc, pos = term[order], doc[order], pos[order]
-            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-            new_doc = np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]
-            offsets = pa.array(np.r_[first, len(term)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(term[first]),
-                    pa.array(np.add.reduceat(new_doc.astype(np.int32), first).astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(doc)),
-                    pa.ListArray.from_arrays(offsets, pa.array(pos)),
-                ],
-                names=["term", "df", "docs", "pos"],
-            )
+                ids.append(d)
+                coded.append(np.array([get(w, -1) for w in words(t)], dtype=np.int32))
+                chars += len(t)
+                if len(ids) == SEGMENT_DOCS or chars > SEGMENT_CHARS:
+                    yield pa.RecordBatch.from_pylist([packed(ids, coded)], schema=_index_schema())
+                    ids, coded, chars = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_pylist([packed(ids, coded)], schema=_index_schema())
 
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(segment, INDEX)
     return written(rows, "postings")
 
 
-def _supported(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Matches with another match one or two steps away on their diagonal; a lone common word supports nothing."""
-    key = i.astype(np.int64) * (1 << 20) + j
-    step = (1 << 20) + 1
-    return np.isin(key + step, key) | np.isin(key - step, key) | np.isin(key + 2 * step, key) | np.isin(key - 2 * step, key)
+def _index_schema() -> pa.Schema:
+    return pa.schema([(n, pa.binary()) for n in ("docs", "term", "start", "df", "doc", "pos")])
+
+
+class Segment:
+    """A segment read back."""
+
+    def __init__(self, row: dict[str, bytes]):
+        self.docs = np.frombuffer(row["docs"], np.int64)
+        self.term, self.start, self.df, self.pos = (np.frombuffer(row[n], np.int32) for n in ("term", "start", "df", "pos"))
+        self.doc = np.frombuffer(row["doc"], np.int16)
+
+    def hits(self, occurrences: Occurrences, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(document, passage, position, offset) of every posting that meets an occurrence of its term in a passage."""
+        row = np.repeat(np.arange(len(self.term)), np.diff(self.start))
+        n = occurrences.many[self.term][row]
+        use = n > 0 if only is None else (n > 0) & only[self.doc]
+        at = np.flatnonzero(use)
+        n, term = n[at], self.term[row[at]]
+        which = np.repeat(occurrences.first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        return self.doc[at].astype(np.int64), occurrences.item[which], self.pos[at].astype(np.int64), occurrences.off[which]
+
+
+class Occurrences:
+    """Where each term occurs in the passages, ordered by term."""
+
+    def __init__(self, term: np.ndarray, item: np.ndarray, off: np.ndarray, vocabulary: int):
+        order = np.argsort(term, kind="stable")
+        self.item, self.off = item[order].astype(np.int64), off[order].astype(np.int64)
+        self.many = np.bincount(term, minlength=vocabulary)
+        self.first = np.r_[0, np.cumsum(self.many)[:-1]]
+
+
+def _near(key: np.ndarray) -> np.ndarray:
+    """Of sorted keys that end in an offset: those with a neighbour one or two offsets away in the same row."""
+    step = np.diff(key)
+    close = (step == 1) | (step == 2)
+    return np.r_[close, False] | np.r_[False, close]
 
 
 def longest_chain(i: np.ndarray, j: np.ndarray) -> int:
@@ -119,34 +160,61 @@ def longest_chain(i: np.ndarray, j: np.ndarray) -> int:
     return len(tails)
 
 
-def contained(doc: np.ndarray, item: np.ndarray, slack: int) -> int:
-    """Words of ``item`` that ``doc`` carries in order within one stretch of len(item) + slack words."""
-    where: dict[int, list[int]] = defaultdict(list)
-    for j, t in enumerate(item.tolist()):
-        where[t].append(j)
-    hit = np.flatnonzero(np.isin(doc, item))
-    if not len(hit):
-        return 0
-    i = np.repeat(hit, [len(where[t]) for t in doc[hit].tolist()])
-    j = np.array([x for t in doc[hit].tolist() for x in where[t]], dtype=np.int64)
-    keep = _supported(i, j)
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return 0
-    span, best = len(item) + slack, 0
-    step = max(1, slack // 2)
-    for start in range(int(i.min()), int(i.max()) + 1, step):
+def most_in_stretch(i: np.ndarray, j: np.ndarray, span: int, step: int) -> int:
+    """The longest chain of matches (i in the document, j in the passage) inside any ``span`` words of the document."""
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    best, start, end = 0, int(i[0]), int(i[-1])
+    while True:
         lo, hi = np.searchsorted(i, (start, start + span))
         if hi - lo > best:
             best = max(best, longest_chain(i[lo:hi], j[lo:hi]))
-    return best
+        if start + span > end:
+            return best
+        start = max(start + step, int(i[np.searchsorted(i, start + step)]) if start + step <= end else end)
+
+
+def search_segment(seg: Segment, sizes: np.ndarray, seeds: Occurrences, every: Occurrences, least: np.ndarray, share: float, slack: int) -> list[tuple[int, int, int]]:
+    """(document, passage, words found) of a segment: rarest terms first, all words for what they leave."""
+    d, it, pos, off = seg.hits(seeds)
+    width = sizes[it] + slack
+    band = (pos - off + (1 << 12)) // width
+    key = (d << _DOC) | (it << _ITEM) | band
+    both, n = np.unique(np.concatenate([key, key + 1]), return_counts=True)  # bands overlap by half
+    ok = n >= least[(both >> _ITEM) & ((1 << (_DOC - _ITEM)) - 1)]
+    pair = np.unique(both[ok] >> _ITEM)
+    if not len(pair):
+        return []
+    only = np.zeros(len(seg.docs), dtype=bool)
+    only[pair >> (_DOC - _ITEM)] = True
+    d, it, pos, off = seg.hits(every, only)
+    of_pair = (d << (_DOC - _ITEM)) | it
+    at = np.searchsorted(pair, of_pair)
+    keep = pair[np.minimum(at, len(pair) - 1)] == of_pair
+    at, pos, off = at[keep], pos[keep], off[keep]
+    # along a diagonal a match must have company; a lone common word counts for nothing
+    order = np.lexsort((off, pos - off, at))
+    at, pos, off = at[order], pos[order], off[order]
+    same = np.r_[True, (at[1:] != at[:-1]) | (np.diff(pos - off) != 0)]
+    keep = _near(off + np.cumsum(same) * (1 << 20))
+    at, pos, off = at[keep], pos[keep], off[keep]
+    covered = np.bincount(np.unique((at << 13) | off) >> 13, minlength=len(pair))
+    mask = (1 << (_DOC - _ITEM)) - 1
+    out = []
+    for k in np.flatnonzero(covered >= share * sizes[pair & mask]).tolist():
+        lo, hi = np.searchsorted(at, (k, k + 1))
+        i = int(pair[k] & mask)
+        found = most_in_stretch(pos[lo:hi], off[lo:hi], int(sizes[i]) + slack, max(1, slack // 2))
+        if found >= share * sizes[i]:
+            out.append((int(pair[k] >> (_DOC - _ITEM)), i, found))
+    return out
 
 
 def find_passages(
     docs: DataFrame,
     items: DataFrame,
     share: float = 0.5,
-    rare: float = 0.7,
+    rare: float = 0.6,
     slack: int = 60,
     block: int = 5000,
     phrase: bool = False,
@@ -159,7 +227,6 @@ def find_passages(
 
     ``phrase=True`` asks for the whole passage in consecutive positions instead.
     """
-    spark = docs.sparkSession
     share = 1.0 if phrase else share
     rows: list[tuple[int, str]] = []
     out: DataFrame | None = None
@@ -176,59 +243,61 @@ def _find_block(docs: DataFrame, todo: list[tuple[int, list[str]]], share: float
     spark = docs.sparkSession
     terms = sorted({w for _, ws in todo for w in ws})
     number = {t: n for n, t in enumerate(terms)}
-    coded = {i: np.array([number[w] for w in ws], dtype=np.int32) for i, ws in todo}
+    names = np.array([i for i, _ in todo], dtype=np.int64)
+    coded = [np.array([number[w] for w in ws], dtype=np.int64) for _, ws in todo]
+    sizes = np.array([len(c) for c in coded], dtype=np.int64)
     index = build_index(docs, terms, id_col, text_col)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(terms), dtype=np.int64)
+        for b in batches:
+            for t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n[np.frombuffer(t, np.int32)] += np.frombuffer(f, np.int32)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
+
     df = np.zeros(len(terms), dtype=np.int64)
-    for r in index.groupBy("term").agg(F.sum("df").alias("n")).collect():  # the block's vocabulary at most
-        df[r["term"]] = r["n"]
-    seeds = []
-    for i, ids in coded.items():
+    for r in index.select("term", "df").mapInArrow(frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]  # at most the vocabulary of the block
+    seed_term, seed_item, seed_off, least = [], [], [], []
+    for i, ids in enumerate(coded):
         n = len(ids)
         rarest = np.argsort(df[ids], kind="stable")[: max(1, int(np.ceil(rare * n)))]
-        least = max(1, int(np.floor(len(rarest) + np.ceil(share * n) - n)))
-        seeds += [(int(ids[o]), i, int(o), n + slack, least) for o in rarest.tolist()]
-    wanted = spark.createDataFrame(pd.DataFrame(seeds, columns=["term", "item", "off", "width", "least"]), "term int, item bigint, off int, width int, least int")
-    hits = (
-        index.select("term", F.arrays_zip("docs", "pos").alias("p"))
-        .join(F.broadcast(wanted.groupBy("term").agg(F.collect_list(F.struct("item", "off", "width", "least")).alias("w"))), "term")
-        .select(F.explode("p").alias("p"), "w")
-        .select("p.docs", "p.pos", F.explode("w").alias("w"))
+        least.append(max(1, int(np.ceil(share * n)) - (n - len(rarest))))
+        seed_term.append(ids[rarest])
+        seed_item.append(np.full(len(rarest), i))
+        seed_off.append(rarest)
+    seeds = Occurrences(np.concatenate([*seed_term, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*seed_item, np.zeros(0)]), np.concatenate([*seed_off, np.zeros(0)]), len(terms))
+    every = Occurrences(
+        np.concatenate([*coded, np.zeros(0, np.int64)]), np.repeat(np.arange(len(coded)), sizes), np.concatenate([*[np.arange(n) for n in sizes], np.zeros(0)]), len(terms)
     )
-    band = F.floor((F.col("pos") - F.col("w.off")) / F.col("w.width")).cast("int")
-    hits = hits.select(F.col("docs").alias("doc"), "w.item", "w.off", "w.least", F.explode(F.array(band, band + 1)).alias("band"))
-    found = (
-        hits.groupBy("doc", "item", "band", "least", "off").agg(F.lit(1).alias("one"))
-        .groupBy("doc", "item", "band", "least").agg(F.count("*").alias("n"))
-        .filter("n >= least").groupBy("doc").agg(F.collect_set("item").alias("items"))
-    )
-    small = spark.sparkContext.broadcast((number, coded))
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        num, code = small.value
-        get = num.get
+    shipped = spark.sparkContext.broadcast((names, sizes, coded, seeds, every, np.array(least)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        names, sizes, coded, seeds, every, least = shipped.value
         for b in batches:
-            got = []
-            for d, text, its in zip(b["doc"], b["text"], b["items"], strict=True):
-                ids = np.array([get(w, -1) for w in words(text)], dtype=np.int32)
-                for i in its:
-                    item = code[i]
-                    if phrase:
-                        n = len(item) if _has_phrase(ids, item) else 0
-                    else:
-                        n = contained(ids, item, slack)
-                    if n and n >= share * len(item):
-                        got.append((d, i, len(item), n))
-            yield pd.DataFrame(got, columns=["doc_id", "item_id", "n_words", "n_found"])
-
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    return texts.join(found, "doc").mapInPandas(align, "doc_id bigint, item_id bigint, n_words int, n_found int").distinct()
-
-
-def _has_phrase(doc: np.ndarray, item: np.ndarray) -> bool:
-    at = np.flatnonzero(doc == item[0])
-    at = at[at + len(item) <= len(doc)]
+            for row in b.to_pylist():
+                seg = Segment(row)
+                found = search_segment(seg, sizes, seeds, every, least, share, slack)
+                if phrase:
+                    found = [(d, i, n) for d, i, n in found if _has_phrase(seg, d, coded[i])]
+                if found:
+                    d, i, n = map(list, zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(seg.docs[d]), pa.array(names[i]), pa.array(sizes[i].astype(np.int32)), pa.array(n, pa.int32())], names=["doc_id", "item_id", "n_words", "n_found"])
+
+    return index.mapInArrow(search, "doc_id bigint, item_id bigint, n_words int, n_found int").distinct()
+
+
+def _has_phrase(seg: Segment, doc: int, item: np.ndarray) -> bool:
+    """Whether the passage stands in consecutive positions: offset-adjusted lists of all its terms intersect."""
+    at = None
     for k, t in enumerate(item.tolist()):
-        at = at[doc[at + k] == t]
+        r = int(np.searchsorted(seg.term, t))
+        if r == len(seg.term) or seg.term[r] != t:
+            return False
+        s = slice(seg.start[r], seg.start[r + 1])
+        here = seg.pos[s][seg.doc[s] == doc] - k
+        at = here if at is None else np.intersect1d(at, here)
         if not len(at):
             return False
     return True
