@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from weftline.session import written
+
 # Letters of other alphabets that are drawn like a Latin letter or sign.
 LOOK_ALIKES = {
     # Cyrillic capitals
@@ -258,11 +260,13 @@ def same_look_pairs(rows: DataFrame) -> DataFrame:
     """
     base = rows.filter(F.col("text").isNotNull() & F.col("id").isNotNull()).select("tbl", "id", "grp", "text")
     base = base.withColumn("active", is_active(F.col("text")))
+    # every text is read and tested once; later steps need hashes, and the text of active rows only
+    base = written(base.select("tbl", "id", "grp", *text_key(F.col("text")), "active", F.when(F.col("active"), F.col("text")).alias("text")), "texts")
     forms = fold_active(base.filter("active").select("text")).select("h1", "h2", *[c.alias(n) for c, n in zip(text_key(F.col("form")), ("s1", "s2"), strict=True)])
     ids = ["tbl", "id", "grp", "h1", "h2"]
     keys = [F.xxhash64("tbl", "grp", "s1", "s2").alias("k"), F.xxhash64("s2", "s1", "grp", "tbl").alias("k2")]
-    active = base.filter("active").select("tbl", "id", "grp", *text_key(F.col("text"))).join(forms, ["h1", "h2"]).select("tbl", "id", "h1", "h2", *keys).distinct()
-    plain = base.filter(~F.col("active")).select("tbl", "id", "grp", *text_key(F.col("text"))).select(*ids, F.col("h1").alias("s1"), F.col("h2").alias("s2"))
+    active = base.filter("active").select(*ids).join(forms, ["h1", "h2"]).select("tbl", "id", "h1", "h2", *keys).distinct()
+    plain = base.filter(~F.col("active")).select(*ids, F.col("h1").alias("s1"), F.col("h2").alias("s2"))
     wanted = active.select("k", "k2").distinct()
     plain = plain.select("tbl", "id", "h1", "h2", *keys).join(wanted, ["k", "k2"], "left_semi").distinct()
     every = active.unionByName(plain)
