@@ -49,7 +49,6 @@ _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
 #: of each begin, their document frequencies, and the postings themselves (document in the segment, position).
 INDEX = "docs binary, term binary, start binary, df binary, doc binary, pos binary"
 SEGMENT_DOCS, SEGMENT_CHARS = 1024, 4_000_000
-_DOC, _ITEM, _OFF = 52, 39, 26  # bit fields of a hit: document, passage, diagonal and offset or offset and diagonal
 
 
 def words(text: str) -> list[str]:
@@ -176,37 +175,44 @@ def most_in_stretch(i: np.ndarray, j: np.ndarray, span: int, step: int) -> int:
 
 def search_segment(seg: Segment, sizes: np.ndarray, seeds: Occurrences, every: Occurrences, least: np.ndarray, share: float, slack: int) -> list[tuple[int, int, int]]:
     """(document, passage, words found) of a segment: rarest terms first, all words for what they leave."""
+    items = len(sizes)
     d, it, pos, off = seg.hits(seeds)
-    width = sizes[it] + slack
-    band = (pos - off + (1 << 12)) // width
-    key = (d << _DOC) | (it << _ITEM) | band
+    # pairs with too few hits anywhere need no bands
+    total = np.bincount(d * items + it, minlength=len(seg.docs) * items)
+    keep = total[d * items + it] >= least[it]
+    d, it, pos, off = d[keep], it[keep], pos[keep], off[keep]
+    band = (pos - off + (1 << 12)) // (sizes[it] + slack)
+    key = ((d * items + it) << 24) | band
     both, n = np.unique(np.concatenate([key, key + 1]), return_counts=True)  # bands overlap by half
-    ok = n >= least[(both >> _ITEM) & ((1 << (_DOC - _ITEM)) - 1)]
-    pair = np.unique(both[ok] >> _ITEM)
+    pair = both[n >= least[(both >> 24) % items]] >> 24
     if not len(pair):
         return []
+    wanted = np.zeros(len(seg.docs) * items, dtype=bool)
+    wanted[pair] = True
     only = np.zeros(len(seg.docs), dtype=bool)
-    only[pair >> (_DOC - _ITEM)] = True
+    only[pair // items] = True
     d, it, pos, off = seg.hits(every, only)
-    of_pair = (d << (_DOC - _ITEM)) | it
-    at = np.searchsorted(pair, of_pair)
-    keep = pair[np.minimum(at, len(pair) - 1)] == of_pair
+    at = d * items + it
+    keep = wanted[at]
     at, pos, off = at[keep], pos[keep], off[keep]
+    keep = np.bincount(at, minlength=len(wanted))[at] >= share * sizes[at % items]
+    at, pos, off = at[keep], pos[keep], off[keep]
+    if not len(at):
+        return []
     # along a diagonal a match must have company; a lone common word counts for nothing
     order = np.lexsort((off, pos - off, at))
     at, pos, off = at[order], pos[order], off[order]
     same = np.r_[True, (at[1:] != at[:-1]) | (np.diff(pos - off) != 0)]
     keep = _near(off + np.cumsum(same) * (1 << 20))
     at, pos, off = at[keep], pos[keep], off[keep]
-    covered = np.bincount(np.unique((at << 13) | off) >> 13, minlength=len(pair))
-    mask = (1 << (_DOC - _ITEM)) - 1
+    covered = np.bincount(np.unique((at << 13) | off) >> 13, minlength=1)
     out = []
-    for k in np.flatnonzero(covered >= share * sizes[pair & mask]).tolist():
+    for k in np.flatnonzero(covered >= share * sizes[np.arange(len(covered)) % items]).tolist():
         lo, hi = np.searchsorted(at, (k, k + 1))
-        i = int(pair[k] & mask)
-        found = most_in_stretch(pos[lo:hi], off[lo:hi], int(sizes[i]) + slack, max(1, slack // 2))
-        if found >= share * sizes[i]:
-            out.append((int(pair[k] >> (_DOC - _ITEM)), i, found))
+        i = k % items
+        found = most_in_stretch(pos[lo:hi], off[lo:hi], int(sizes[i]) + slack, max(1, slack // 2)) if hi > lo else 0
+        if found and found >= share * sizes[i]:
+            out.append((k // items, i, found))
     return out
 
 
