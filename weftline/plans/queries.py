@@ -2,10 +2,391 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftline.functions.words import word_table
+from weftline.operators import decode, joins, prompt, spans
+from weftline.plans import sql
+from weftline.plans.engine import ExtractionEngine
+from weftline.streaming.extract import stream_entities
+from weftline.tasks import classifications, entities as entity_task, from_table, relations
+
+NER = ("person", "organization", "location", "date", "event")
+TASK = entity_task(*NER)
+RELATION = relations("works_with", "head", "tail")
+TOPIC = classifications("topic", "finance", "legal", "news", "health", "logistics", "energy", "culture")
+THRESHOLD = 0.9
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    """Register a query under its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _prompt_size(*tasks) -> int:
+    return sum(max(1, -(-len(p) // 4)) for p in prompt.assemble(tasks)[0])
+
+
+_SENT = "WITH " + sql.words("test_sentences", "sent_id")
+_DOCS = "WITH " + sql.words("documents", "doc_id")
+
+
+# -- words ------------------------------------------------------------------------------------------
+@query(_SENT + " SELECT id, pos, word FROM w")
+def split_words(spark: SparkSession, sf: str) -> DataFrame:
+    return word_table(_t(spark, sf, "test_sentences"), "sent_id", "text").select("id", "pos", "word")
+
+
+@query(_DOCS + " SELECT id, pos, char_start, char_end, byte_start, byte_end FROM w")
+def split_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return word_table(_t(spark, sf, "documents"), "doc_id", "text").drop("word")
+
+
+@query(
+    f"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '(?i){sql.re2_word()}')) AS INT) AS n_words FROM documents WHERE text IS NOT NULL"
+)
+def word_count(spark: SparkSession, sf: str) -> DataFrame:
+    from weftline.functions.words import split_words as split
+
+    return _t(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.size(split(F.col("text"))).alias("n_words"))
+
+
+# -- prompt -----------------------------------------------------------------------------------------
+_BLOCKS = """
+b AS (SELECT task_idx, max(task_idx) OVER () AS last, list_concat(list_concat(['(', '[P]', CASE WHEN task_type = 'entities' THEN 'entities' ELSE task_name END, '('],
+  flatten(list_transform(labels, lambda x: [CASE task_type WHEN 'entities' THEN '[E]' WHEN 'relations' THEN '[R]' ELSE '[L]' END, x]))), [')', ')']) AS p FROM extraction_task),
+x AS (SELECT task_idx, list_append(p, CASE WHEN task_idx < last THEN '[SEP_STRUCT]' ELSE '[SEP_TEXT]' END) AS p FROM b),
+y AS (SELECT task_idx, unnest(p) AS piece, unnest(range(len(p))) AS k FROM x)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT CAST(row_number() OVER (ORDER BY task_idx, k) - 1 AS INT) AS piece_idx, piece, task_idx FROM y")
+def prompt_multitask(spark: SparkSession, sf: str) -> DataFrame:
+    return prompt.prompt_pieces(_t(spark, sf, "extraction_task"))
+
+
+@query(f"""WITH {_BLOCKS}, n AS (SELECT *, row_number() OVER (ORDER BY task_idx, k) - 1 AS i FROM y),
+h AS (SELECT task_idx, i AS prompt_idx FROM n WHERE piece = '[P]'),
+m AS (SELECT task_idx, piece AS label, i, lag(piece) OVER (ORDER BY i) AS before FROM n)
+SELECT m.task_idx, CAST(h.prompt_idx AS INT) AS prompt_idx, CAST(row_number() OVER (PARTITION BY m.task_idx ORDER BY i) - 1 AS INT) AS label_idx, label, CAST(i AS INT) AS field_idx
+FROM m JOIN h ON m.task_idx = h.task_idx WHERE before IN ('[E]', '[R]', '[L]')""")
+def field_indices(spark: SparkSession, sf: str) -> DataFrame:
+    return prompt.field_positions(_t(spark, sf, "extraction_task"))
+
+
+@query(f"{_SENT}, {sql.subwords(_prompt_size(TASK))} SELECT id, pos, start_tok, end_tok FROM wt")
+def subword_map(spark: SparkSession, sf: str) -> DataFrame:
+    return ExtractionEngine().words(_t(spark, sf, "test_sentences"), [TASK], "sent_id", "text").select("id", "pos", "start_tok", "end_tok")
+
+
+@query(f"""{_SENT}, {sql.subwords(_prompt_size(TASK))}
+SELECT id, min(start_tok) AS text_start, max(end_tok) AS text_end, CAST(max(end_tok) + 1 AS BIGINT) AS sequence_length, count(*) AS n_words FROM wt GROUP BY id""")
+def sequence_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    w = ExtractionEngine().words(_t(spark, sf, "test_sentences"), [TASK], "sent_id", "text")
+    return w.groupBy("id").agg(F.min("start_tok").alias("text_start"), F.max("end_tok").alias("text_end"), (F.max("end_tok") + 1).alias("sequence_length"), F.count("*").alias("n_words"))
+
+
+# -- spans and scores -------------------------------------------------------------------------------
+def _span_sql(where: str) -> str:
+    return f"""{_SENT}, n AS (SELECT id, pos, count(*) OVER (PARTITION BY id) AS n FROM w)
+SELECT id, pos AS start, CAST(k AS INT) AS width_idx, CAST(least(pos + k + 1, n) AS INT) AS "end", pos + k >= n AS is_padding
+FROM n, (SELECT unnest(range(8)) AS k) {where}"""
+
+
+@query(_span_sql(""))
+def span_enumerate(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.enumerate_spans(word_table(_t(spark, sf, "test_sentences"), "sent_id", "text"))
+
+
+@query(_span_sql("WHERE pos + k < n"))
+def span_enumerate_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.enumerate_spans(word_table(_t(spark, sf, "test_sentences"), "sent_id", "text"), padding="mask")
+
+
+_CAND = f"{_SENT}, {sql.subwords(_prompt_size(TASK))}, {sql.candidates(NER, THRESHOLD)}"
+
+
+@query(_CAND + ' SELECT id, c_idx, start, width_idx, "end", label, score, is_padding FROM c')
+def threshold_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    e = ExtractionEngine()
+    c = spans.candidates(e.words(_t(spark, sf, "test_sentences"), [TASK], "sent_id", "text"), NER, e.backend, THRESHOLD)
+    return c.select("id", "c_idx", "start", "width_idx", "end", "label", "score", "is_padding")
+
+
+_VEC = """WITH q AS (SELECT vec_id AS q_id, embedding AS b FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT vec_id, q_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(b[i] AS DOUBLE))) AS x FROM embeddings, q)"""
+
+
+@query(_VEC + " SELECT vec_id, q_id, round(x, 6) AS dot, round(1 / (1 + exp(-x)), 6) AS score FROM d")
+def dot_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored vectors against the query vectors (every id divisible by 20): dot product and sigmoid."""
+    from weftline.backends.vectors import dot_scores as scores
+
+    e = _t(spark, sf, "embeddings")
+    return scores(e.select("vec_id", "embedding"), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("b")))
+
+
+@query(_VEC + " SELECT vec_id, arg_min(q_id, struct_pack(a := -round(x, 6), b := q_id)) AS q_id, round(max(x), 6) AS dot FROM d GROUP BY vec_id")
+def vector_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    """The query vector with the highest dot product, the first of equals."""
+    d = QUERIES["dot_scores"](spark, sf)
+    return d.groupBy("vec_id").agg(F.min_by("q_id", F.struct(-F.col("dot"), "q_id")).alias("q_id"), F.max("dot").alias("dot"))
+
+
+@query(f"""{_SENT}, u AS (SELECT id, least(sum(CAST(regexp_matches(word, '^\\p{{Lu}}') AS INT)), 3) AS n FROM w GROUP BY id)
+SELECT id, CAST(n AS INT) AS pred_count FROM u""")
+def count_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    """The predicted count: first maximum of count logits -|c - seen|."""
+    w = word_table(_t(spark, sf, "test_sentences"), "sent_id", "text")
+    seen = F.least(F.sum(F.col("word").rlike(r"^\p{Lu}").cast("int")), F.lit(3))
+    logits = F.array(*[-F.abs(F.col("seen") - c) for c in range(4)])
+    return w.groupBy("id").agg(seen.alias("seen")).select("id", decode.argmax_first(logits).alias("pred_count"))
+
+
+# -- decoding ---------------------------------------------------------------------------------------
+_FIELDS = ("label", "score", "start", "width_idx", "c_idx", "start_tok", "end_tok", "char_start", "char_end", "byte_start", "byte_end")
+_OUT = "id, u.label AS label, u.score AS score, rank, u.start_tok AS start_tok, u.end_tok AS end_tok, u.char_start AS char_start, u.char_end AS char_end"
+_COLS = ["id", "label", "score", "rank", "start_tok", "end_tok", "char_start", "char_end", "text"]
+
+
+def _entities_sql(flat: bool = False, threshold: float = THRESHOLD, masked: bool = False, table: str = "test_sentences", key: str = "sent_id") -> str:
+    return f"""WITH {sql.words(table, key)}, {sql.subwords(_prompt_size(TASK))}, {sql.candidates(NER, threshold, masked=masked)},
+{sql.nms("c", ["id"], str(flat).lower(), decode.ORDER, _FIELDS)}
+SELECT {_OUT}, trim(substr(t.text, CAST(u.char_start AS INT) + 1, CAST(u.char_end - u.char_start AS INT))) AS text FROM k JOIN {table} t ON t.{key} = k.id"""
+
+
+def _entities(spark: SparkSession, sf: str, table: str = "test_sentences", key: str = "sent_id", threshold: float = THRESHOLD, flat: bool = False, **engine) -> DataFrame:
+    return ExtractionEngine(**engine).extract(_t(spark, sf, table), [TASK], key, "text", threshold, flat).entities.select(*_COLS)
+
+
+@query(_entities_sql())
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    return _entities(spark, sf)
+
+
+@query(_entities_sql(flat=True))
+def entities_flat(spark: SparkSession, sf: str) -> DataFrame:
+    return _entities(spark, sf, flat=True)
+
+
+@query(_entities_sql(masked=True))
+def entities_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return _entities(spark, sf, padding="mask")
+
+
+@query(_entities_sql(table="documents", key="doc_id", threshold=0.99))
+def extract_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _entities(spark, sf, "documents", "doc_id", threshold=0.99)
+
+
+@query(_entities_sql(threshold=0.99))
+def stream_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """The row-local plan in Structured Streaming over all texts."""
+    return stream_entities(spark, sf, "test_sentences", "sent_id", TASK, 0.99).select(*_COLS)
+
+
+def _relations_sql(group: list[str], threshold: float) -> str:
+    g = ", ".join(group)
+    c = "c_idx" if "c_idx" in group else "0 AS c_idx"
+    pick = "struct_pack(text := text, label := label, score := score, start_tok := start_tok, end_tok := end_tok)"
+    fields = [f for f in _FIELDS if f not in group]
+    return f"""{_SENT}, {sql.subwords(_prompt_size(RELATION))}, {sql.candidates(RELATION.labels, threshold)},
+{sql.nms("c", group, "false", decode.ORDER, fields)},
+n AS (SELECT k.{', k.'.join(group)}, rank, u.label AS label, u.score AS score, u.start_tok AS start_tok, u.end_tok AS end_tok,
+  trim(substr(t.text, CAST(u.char_start AS INT) + 1, CAST(u.char_end - u.char_start AS INT))) AS text FROM k JOIN test_sentences t ON t.sent_id = k.id),
+p AS (SELECT {g}, arg_min({pick}, rank) FILTER (label = 'head') AS head, arg_min({pick}, rank) FILTER (label = 'tail') AS tail FROM n GROUP BY {g})
+SELECT id, {c}, head.text AS head_text, head.score AS head_score, tail.text AS tail_text, tail.score AS tail_score, 'head' AS relation_type, 'works_with' AS task_name
+FROM p WHERE head IS NOT NULL AND tail IS NOT NULL"""
+
+
+def _relations(spark: SparkSession, sf: str, semantics: str) -> DataFrame:
+    r = ExtractionEngine(semantics=semantics).extract(_t(spark, sf, "test_sentences"), [RELATION], "sent_id", "text", 0.8).relations
+    return r.select(
+        "id", "c_idx", F.col("head.text").alias("head_text"), F.col("head.score").alias("head_score"), F.col("tail.text").alias("tail_text"),
+        F.col("tail.score").alias("tail_score"), "relation_type", "task_name",
+    )
+
+
+@query(_relations_sql(["id", "c_idx"], 0.8))
+def relations_v1(spark: SparkSession, sf: str) -> DataFrame:
+    return _relations(spark, sf, "v1")
+
+
+@query(_relations_sql(["id"], 0.8))
+def relations_v2(spark: SparkSession, sf: str) -> DataFrame:
+    return _relations(spark, sf, "v2")
+
+
+def _classify_sql(last_wins: bool) -> str:
+    from weftline.backends.lexical import LexicalBackend
+
+    s = LexicalBackend().sql_scores("word", TOPIC.labels, 0)
+    names = "[" + ", ".join(f"'{x}'" for x in TOPIC.labels) + "]"
+    sums = "[" + ", ".join(f"CAST(sum(s[{m + 1}]) AS DOUBLE) / count(*)" for m in range(len(TOPIC.labels))) + "]"
+    gate = "HAVING sum(CAST(regexp_matches(word, '^\\p{Lu}') AS INT)) > 0" if last_wins else ""
+    tie = "DESC" if last_wins else "ASC"
+    return f"""{_SENT}, f AS (SELECT id, word, {s} AS s FROM w), l AS (SELECT id, {sums} AS l FROM f GROUP BY id {gate}),
+x AS (SELECT id, unnest(l) AS logit, unnest(range(len(l))) AS m, list_max(l) AS top FROM l),
+z AS (SELECT id, sum(exp(logit - top)) AS z FROM x GROUP BY id),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY logit DESC, m {tie}) AS r FROM x)
+SELECT b.id, {names}[m + 1] AS label, round(exp(logit - top) / z, 6) AS score, 'topic' AS task_name FROM b JOIN z ON b.id = z.id WHERE r = 1"""
+
+
+def _classify(spark: SparkSession, sf: str, semantics: str) -> DataFrame:
+    c = ExtractionEngine(semantics=semantics).extract(_t(spark, sf, "test_sentences"), [TOPIC], "sent_id", "text").classifications
+    return c.select("id", "label", "score", "task_name")
+
+
+@query(_classify_sql(False))
+def classify_softmax(spark: SparkSession, sf: str) -> DataFrame:
+    return _classify(spark, sf, "v1")
+
+
+@query(_classify_sql(True))
+def classify_v2_gated(spark: SparkSession, sf: str) -> DataFrame:
+    return _classify(spark, sf, "v2")
+
+
+@query()
+def extract_multitask(spark: SparkSession, sf: str) -> DataFrame:
+    """All tasks of the task table in one pass; a row per result with its kind."""
+    out = ExtractionEngine().extract(_t(spark, sf, "test_sentences"), from_table(_t(spark, sf, "extraction_task")), "sent_id", "text", THRESHOLD)
+    e = out.entities.select("id", "task_idx", F.lit("entity").alias("kind"), "label", "text", "score")
+    r = out.relations.select("id", "task_idx", F.lit("relation").alias("kind"), F.col("relation_type").alias("label"), F.concat_ws(" -> ", "head.text", "tail.text").alias("text"), F.col("head.score").alias("score"))
+    c = out.classifications.select("id", "task_idx", F.lit("class").alias("kind"), "label", F.lit(None).cast("string").alias("text"), "score")
+    return e.unionByName(r).unionByName(c)
+
+
+# -- operators over stored results ------------------------------------------------------------------
+_LATEST = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY loaded_at DESC, text, label) AS r_ FROM extracted_entity) WHERE r_ = 1)"""
+
+
+@query(f"WITH {_LATEST} SELECT entity_id, sent_id, run_id, task_idx, text, label, score, start_tok, end_tok FROM d")
+def latest_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per entity_id: the last one loaded."""
+    return joins.latest(_t(spark, sf, "extracted_entity"), ["entity_id"], [F.col("loaded_at").desc(), F.col("text").asc_nulls_last(), F.col("label").asc_nulls_last()]).select(
+        "entity_id", "sent_id", "run_id", "task_idx", "text", "label", "score", "start_tok", "end_tok"
+    )
+
+
+_STORED = ("entity_id", "label", "score", "start_tok", "end_tok")
+
+
+@query(f"""WITH {_LATEST}, v AS (SELECT d.sent_id, d.run_id, d.task_idx, d.entity_id, d.label, CAST(d.score AS DOUBLE) AS score, d.start_tok, d.end_tok, r.flat_ner
+  FROM d JOIN extraction_run r ON d.run_id = r.run_id WHERE d.label IS NOT NULL AND d.score > r.threshold),
+{sql.nms("v", ["sent_id", "run_id", "task_idx"], "flat_ner", ["entity_id"], _STORED)}
+SELECT sent_id, run_id, task_idx, u.entity_id AS entity_id, u.label AS label, rank FROM k""")
+def stored_nms_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Threshold and suppression of stored mentions with the parameters of each row's own run."""
+    e = QUERIES["latest_deliveries"](spark, sf).withColumn("score", F.col("score").cast("double"))
+    r = _t(spark, sf, "extraction_run").select("run_id", "threshold", "flat_ner")
+    kept = e.join(r, "run_id").filter("label is not null and score > threshold").drop("text", "threshold")
+    out = decode.suppress(kept, ["sent_id", "run_id", "task_idx"], F.col("flat_ner"), order=["entity_id"])
+    return out.select("sent_id", "run_id", "task_idx", "entity_id", "label", "rank")
+
+
+@query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY sent_id, run_id, task_name ORDER BY score DESC NULLS LAST, class_id) AS r FROM classification_result)
+SELECT sent_id, run_id, task_name, label, round(CAST(score AS DOUBLE), 6) AS score FROM b WHERE r = 1""")
+def stored_best_class(spark: SparkSession, sf: str) -> DataFrame:
+    c = _t(spark, sf, "classification_result")
+    best = joins.latest(c, ["sent_id", "run_id", "task_name"], [F.col("score").desc_nulls_last(), F.col("class_id").asc()])
+    return best.select("sent_id", "run_id", "task_name", "label", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query("""SELECT r.rel_id, r.relation_type, t.task_name, r.head.text AS head_text, r.tail.text AS tail_text FROM extracted_relation r
+JOIN extraction_task t ON r.task_idx = t.task_idx WHERE r.head.text IS NOT NULL AND r.tail.text IS NOT NULL""")
+def stored_relations(spark: SparkSession, sf: str) -> DataFrame:
+    r, t = _t(spark, sf, "extracted_relation"), _t(spark, sf, "extraction_task").select("task_idx", "task_name")
+    both = r.filter("head.text is not null and tail.text is not null").join(F.broadcast(t), "task_idx")  # one row per task of a task list
+    return both.select("rel_id", "relation_type", "task_name", F.col("head.text").alias("head_text"), F.col("tail.text").alias("tail_text"))
+
+
+@query("""SELECT e.entity_id, e.loaded_at, r.run_id AS last_run FROM extracted_entity e ASOF LEFT JOIN extraction_run r ON e.loaded_at >= r.started_at""")
+def asof_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The last run started when each row was loaded."""
+    e = _t(spark, sf, "extracted_entity").select("entity_id", "loaded_at")
+    r = _t(spark, sf, "extraction_run").select("started_at", F.col("run_id").alias("last_run"))
+    return joins.asof(e, r, "loaded_at", "started_at", ["last_run"])
+
+
+@query("""SELECT s.source, e.label, count(*) AS n, count(DISTINCT e.text) AS n_texts, CAST(grouping(s.source) * 2 + grouping(e.label) AS BIGINT) AS level
+FROM extracted_entity e JOIN test_sentences s ON e.sent_id = s.sent_id GROUP BY ROLLUP (s.source, e.label)""")
+def label_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    e, s = _t(spark, sf, "extracted_entity").select("sent_id", "label", "text"), _t(spark, sf, "test_sentences").select("sent_id", "source")
+    return e.join(s, "sent_id").rollup("source", "label").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"), F.grouping_id().alias("level"))
+
+
+@query("""SELECT label, run_id, count(*) AS n, round(sum(CAST(score AS DOUBLE)), 4) AS total FROM extracted_entity GROUP BY CUBE (label, run_id)""")
+def label_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "extracted_entity").cube("label", "run_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("double")), 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT label, text, count(*) AS n FROM extracted_entity WHERE label IS NOT NULL AND text IS NOT NULL GROUP BY label, text),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY n DESC, text) AS INT) AS rank FROM g) SELECT label, text, n, rank FROM r WHERE rank <= 10""")
+def top_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """A top-k report: the ten most frequent texts of each label."""
+    g = _t(spark, sf, "extracted_entity").na.drop(subset=["label", "text"]).groupBy("label", "text").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("label").orderBy(F.col("n").desc(), "text")
+    return g.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+
+
+@query("""SELECT sent_id FROM test_sentences EXCEPT SELECT sent_id FROM classification_result""")
+def unclassified(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "test_sentences").select("sent_id").exceptAll(_t(spark, sf, "classification_result").select("sent_id").distinct())
+
+
+@query("""SELECT sent_id FROM extracted_relation INTERSECT SELECT sent_id FROM classification_result""")
+def related_and_classified(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "extracted_relation").select("sent_id").intersect(_t(spark, sf, "classification_result").select("sent_id"))
+
+
+@query("""SELECT s.sent_id, s.source FROM test_sentences s WHERE EXISTS (SELECT 1 FROM extracted_entity e WHERE e.sent_id = s.sent_id AND e.label = 'tax id')""")
+def with_tax_id(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "extracted_entity").filter("label = 'tax id'")
+    return _t(spark, sf, "test_sentences").join(e, "sent_id", "left_semi").select("sent_id", "source")
+
+
+@query("""SELECT time_bucket(INTERVAL 6 HOURS, loaded_at) AS bucket, label, count(*) AS n FROM extracted_entity GROUP BY 1, 2""")
+def loads_by_window(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "extracted_entity")
+    return e.groupBy(F.window("loaded_at", "6 hours"), "label").agg(F.count("*").alias("n")).select(F.col("window.start").alias("bucket"), "label", "n")
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def line_summary(spark: SparkSession, sf: str) -> DataFrame:
+    li = _t(spark, sf, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+    )
+
+
+@query("""SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def orders_by_nation(spark: SparkSession, sf: str) -> DataFrame:
+    o = _t(spark, sf, "orders").select("o_custkey", "o_totalprice")
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    per = o.join(c, "o_custkey").groupBy("n_nationkey").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("t"))
+    n = _t(spark, sf, "nation").select("n_nationkey", "n_name")
+    return per.join(n, "n_nationkey").groupBy("n_name").agg(F.sum("n_orders").alias("n_orders"), F.round(F.sum("t"), 2).alias("total"))
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
