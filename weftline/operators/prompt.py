@@ -40,7 +40,8 @@ def field_positions(tasks: DataFrame) -> DataFrame:
     """task_idx, prompt_idx, label_idx, label, field_idx: pieces whose subwords stand for the task and for its labels."""
     size = 7 + 2 * F.size("labels")  # the block and its separator
     before = F.coalesce(F.sum(size).over(Window.orderBy("task_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = tasks.select("task_idx", (before + 1).cast("int").alias("prompt_idx"), before.alias("b"), F.posexplode("labels").alias("label_idx", "label"))
+    t = tasks.select("task_idx", "labels", before.alias("b"))
+    t = t.select("task_idx", (F.col("b") + 1).cast("int").alias("prompt_idx"), "b", F.posexplode("labels").alias("label_idx", "label"))
     return t.select("task_idx", "prompt_idx", "label_idx", "label", (F.col("b") + 5 + 2 * F.col("label_idx")).cast("int").alias("field_idx"))
 
 

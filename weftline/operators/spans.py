@@ -14,7 +14,8 @@ from weftline.backends.base import Backend
 def enumerate_spans(words: DataFrame, max_width: int = 8, padding: str = "reference") -> DataFrame:
     """id, start, width_idx, end (exclusive), is_padding; ``padding="mask"`` leaves out windows past the last word."""
     n = F.count("*").over(Window.partitionBy("id"))
-    rows = words.select("id", F.col("pos").alias("start"), n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(max_width - 1))).alias("width_idx"))
+    rows = words.select("id", F.col("pos").alias("start"), n.alias("n"))
+    rows = rows.withColumn("width_idx", F.explode(F.sequence(F.lit(0), F.lit(max_width - 1))))
     pad = F.col("start") + F.col("width_idx") >= F.col("n")
     out = rows.select("id", "start", "width_idx", F.least(F.col("start") + F.col("width_idx") + 1, F.col("n")).cast("int").alias("end"), pad.alias("is_padding"))
     return out if padding == "reference" else out.filter(~F.col("is_padding"))

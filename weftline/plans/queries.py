@@ -32,7 +32,7 @@ def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            SQL[f.__name__] = oracle
+            SQL[f.__name__] = oracle.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")  # each step once
         return f
 
     return add
