@@ -106,8 +106,8 @@ def chunk_texts(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, overlap: int = 64, vocabulary: str | None = None
 ) -> DataFrame:
     """id, piece, char_start, char_end, n_tokens, n_overlap, text of every piece of every text above ``limit`` tokens."""
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be at least 0 and below limit")
+    if not 0 <= overlap <= limit - 4:
+        raise ValueError("overlap must be at least 0 and leave 4 tokens of the limit, as many as one code point may take")
     path = vocabulary or default_vocabulary()
     kind = dict(df.dtypes)[id_col]
 

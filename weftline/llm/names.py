@@ -202,7 +202,10 @@ class Register:
         parsed = [parse(n) for _, n, _ in rows]
         count = Counter(w for ws, _ in parsed for w in set(ws))
         self.generic = {w for w, n in count.items() if n >= shared}
-        self.familiar = self.generic | set(NICKNAMES) | set(_OF_NICK)
+        first = set(NICKNAMES) | set(_OF_NICK)
+        # an entry's rarest word that is no first name stays distinctive, however many entries share it
+        kept = {min(own, key=lambda w: (count[w], w)) for ws, _ in parsed if (own := [w for w in ws if w not in first])}
+        self.familiar = (self.generic | first) - kept
         self.parsed = parsed
         self.form = [comparison_form(n) for _, n, _ in rows]
         rng = np.random.default_rng(7)
