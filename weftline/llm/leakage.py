@@ -181,7 +181,7 @@ def search_segment(seg: Segment, sizes: np.ndarray, seeds: Occurrences, every: O
     total = np.bincount(d * items + it, minlength=len(seg.docs) * items)
     keep = total[d * items + it] >= least[it]
     d, it, pos, off = d[keep], it[keep], pos[keep], off[keep]
-    band = (pos - off + (1 << 12)) // (sizes[it] + slack)
+    band = (pos - off + int(sizes.max(initial=0))) // (sizes[it] + slack)
     key = ((d * items + it) << 24) | band
     both, n = np.unique(np.concatenate([key, key + 1]), return_counts=True)  # bands overlap by half
     pair = both[n >= least[(both >> 24) % items]] >> 24
@@ -205,7 +205,7 @@ def search_segment(seg: Segment, sizes: np.ndarray, seeds: Occurrences, every: O
     same = np.r_[True, (at[1:] != at[:-1]) | (np.diff(pos - off) != 0)]
     keep = _near(off + np.cumsum(same) * (1 << 20))
     at, pos, off = at[keep], pos[keep], off[keep]
-    covered = np.bincount(np.unique((at << 13) | off) >> 13, minlength=1)
+    covered = np.bincount(np.unique((at << 24) | off) >> 24, minlength=1)
     out = []
     for k in np.flatnonzero(covered >= share * sizes[np.arange(len(covered)) % items]).tolist():
         lo, hi = np.searchsorted(at, (k, k + 1))
