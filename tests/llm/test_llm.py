@@ -179,6 +179,23 @@ def test_units(spark, mixed):
     assert len(got[24]) == 2 and "3. Mai Frau" in got[24][0] and got[54] == ["XQ12345 +00-11-222"] and 51 not in got and 53 not in got
 
 
+def test_splitter_is_fitted_on_all_texts(spark):
+    rare = ["We read vgk. Anna wrote the rest of it.", "They met vgk. Carl in the old town."] * 3
+    plain = ["Nobody told Anna. We have been waiting.", "We have been waiting. Nobody told Anna."] * 15_000
+    d = spark.createDataFrame(list(enumerate(plain + rare)), "sent_id bigint, text string").repartition(8)
+    got = {tuple(r) for r in sentences.split_sentences(d).filter(f"sent_id >= {len(plain)}").collect()}
+    assert got == {(len(plain) + k, 0, len(t)) for k, t in enumerate(rare)}
+
+
+def test_distributed_fit_equals_fit_in_memory(spark):
+    texts = EN * 5 + DE * 5 + SINGLE_EN * 2 + SINGLE_DE * 2 + ['He said: "Go. Now." (It was late.) Then he left', "สวัสดี ครับ", "12 34", ""]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    a, b = sentences.train(texts), sentences.fit(d, "text")
+    assert a.lexicon == b.lexicon and a.short == b.short
+    mine, other = ({r[:3]: r[3:] for r in m.rows()} for m in (a, b))
+    assert all(other.get(k, (0.0, 0.0)) == pytest.approx(v, abs=1e-3) for k, v in mine.items()) and set(other) <= set(mine)
+
+
 def test_unit_rules():
     m = sentences.train(EN * 5 + DE * 5 + SINGLE_EN * 2 + SINGLE_DE * 2)
     cut = lambda t: [t[a:b] for a, b in sentences.units(t, m)]

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.names import comparison_form
-from weftline.llm.sentences import HiddenEventModel, Tokens, sample_texts, train, units
+from weftline.llm.sentences import HiddenEventModel, Tokens, units
+from weftline.llm.sentences import fit as fit_splitter
 
 # Three-letter codes and names of languages, by two-letter code.
 CODES = {
@@ -171,11 +172,11 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language:
 
 def classify_units(
     df: DataFrame, id_col: str = "sent_id", text_col: str = "text", label_col: str = "language",
-    per_language: int = 1000, fit_texts: int = 8000,
+    per_language: int = 1000,
 ) -> DataFrame:
     """id, char_start, char_end, language, confidence, full_sentence of every sentence unit of every text."""
     spark = df.sparkSession
-    splitter = train(sample_texts(df, id_col, text_col, fit_texts))
+    splitter = fit_splitter(df, text_col)
     model = fit(df, id_col, text_col, label_col, per_language, splitter)
     shipped = spark.sparkContext.broadcast((splitter.packed(), model.languages, model.logp))
 

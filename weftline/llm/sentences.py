@@ -10,8 +10,13 @@ a gap inside matched quotes or brackets or before a closing mark is none, a spac
 letters is a boundary, so is the end of a sentence wholly in brackets. Everything else, full stops first of all, is left to the posteriors.
 
 The model is trained here without labelled boundaries: text ends, line ends and gaps that nobody
-would dispute seed the counts, expectation-maximisation does the rest. It is fitted on a bounded
-sample (``fit_texts`` texts with the smallest hash of their id); all texts are segmented.
+would dispute seed the counts, expectation-maximisation does the rest. It is fitted on all texts
+(``fit``): one pass counts words and full stops, a second one counts n-grams and, of the gaps in
+doubt, the windows of tokens on which their posteriors depend; the rounds of
+expectation-maximisation run over the distinct windows. Partial counts of the tasks are merged by
+key, in fixed-point numbers, so their order does not matter. Only the finished model is broadcast;
+keys rarer than ``KEY_SHARE`` of all tokens are left out of it, which bounds its size (below
+5 million tokens nothing is rare enough).
 
 Defined results: null, empty and blank texts have no units; a text without any language (numbers,
 codes, addresses only) is one unit; offsets count code points of the stored text; repeated texts are
@@ -20,17 +25,20 @@ segmented alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.names import comparison_form
+from weftline.session import written
 
 _TOKEN = regex.compile(
     r"""
@@ -52,6 +60,14 @@ _CLOSERS = set(_PAIRS.values()) - {"“"}
 _DASHES = "—–"
 _WIDE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: " " for c in (0xA0, 0x2007, 0x202F, 0x3000, *range(0x2000, 0x200B))} | {0x37E: ";"}
 S, PLAIN = "<s>", "<w>"
+#: A key of the model is kept from this share of all tokens on.
+KEY_SHARE = 2e-7
+#: Evidence on one word counts as this many occurrences at most, so that rates decide and not the size of the corpus.
+EVIDENCE = 100
+#: Ends of texts and lines after a context, as a share of its full stops, that pass for accidents.
+ACCIDENT = 0.005
+#: Keys a task counts before it hands them on; steps of a fixed-point count.
+HELD, STEPS = 200_000, 1 << 20
 
 
 class Tokens:
@@ -266,27 +282,54 @@ class HiddenEventModel:
             beta0, beta1 = b0 / z, b1 / z
         return out
 
-    def count(self, hist: list[str], nxt: list[str], post: list[float | None]) -> None:
-        """Add expected counts; gaps without a value are not counted."""
+    def count(self, hist: list[str], nxt: list[str], post: list[float | None], times: int = 1, skip: set[int] | tuple = ()) -> None:
+        """Add expected counts ``times`` times; gaps without a value and those in ``skip`` are not counted."""
         before = 1.0
         for i, y in enumerate(post):
             a = S if i == 0 or before > 0.5 else hist[i - 1]
-            if y is not None:
+            if y is not None and i not in skip:
                 for table, key in ((self.event[1], hist[i]), (self.event[0], (a, hist[i]))):
                     cell = table[key]
-                    cell[0] += 1 - y
-                    cell[1] += y
+                    cell[0] += (1 - y) * times
+                    cell[1] += y * times
                 if i + 1 < len(hist):
                     c = nxt[i + 1]
                     if y > 0.001:
-                        self.start[c] += y
+                        self.start[c] += y * times
                     if y < 0.999:
                         kind = _shape(c)
                         for level, key in ((2, ""), (1, hist[i]), (0, (a, hist[i]))):
-                            self.word[level][key][kind] += 1 - y
-                        self.word[3][kind][c] += 1 - y
+                            self.word[level][key][kind] += (1 - y) * times
+                        self.word[3][kind][c] += (1 - y) * times
             before = y if y is not None else 0.0
 
+    def rows(self) -> Iterator[tuple[str, str, str, float, float]]:
+        """The counts as (table, key, value, count, boundaries among them)."""
+        for level, table in enumerate(self.event):
+            for k, (no, yes) in table.items():
+                yield f"e{level}", "\n".join(k) if level == 0 else k, "", no + yes, yes
+        for level, table in enumerate(self.word):
+            for k, v in table.items():
+                for x, n in v.items():
+                    yield f"w{level}", "\n".join(k) if level == 0 else k, x, n, 0.0
+        for c, n in self.start.items():
+            yield "s", "", c, n, 0.0
+
+    def add_rows(self, rows: Iterator[tuple[str, str, str, float, float]]) -> None:
+        for t, k, x, n, y in rows:
+            key = tuple(k.split("\n")) if t[1:] == "0" else k
+            if t == "s":
+                self.start[x] += n
+            elif t[0] == "e":
+                cell = self.event[int(t[1])][key]
+                cell[0] += n - y
+                cell[1] += y
+            else:
+                self.word[int(t[1])][key][x] += n
+
+    def size(self) -> int:
+        return len(self.event[0]) + len(self.word[0]) + len(self.word[3]) + len(self.start)
+
     def packed(self) -> tuple:
         return (self.lexicon, self.short, [dict(t) for t in self.event], [{k: dict(v) for k, v in level.items()} for level in self.word], dict(self.start))
 
@@ -302,49 +345,67 @@ class HiddenEventModel:
         return m
 
 
-def _abbreviations(texts: list[Tokens]) -> set[str]:
-    """Short words that keep company with a full stop far more often than chance (log-likelihood ratio, damped by length)."""
-    dotted, plain, ends, goes_on = Counter(), Counter(), Counter(), Counter()
-    for t in texts:
-        for i, k in enumerate(t.kind):
-            if k == "word" and len(t.raw[i]) <= 6:
-                w = comparison_form(t.raw[i])
-                if i + 1 < len(t.raw) and t.raw[i + 1] == "." and not t.gap[i]:
-                    dotted[w] += 1
-                    ends[w] += t.fixed[i + 1] == 1
-                    goes_on[w] += i + 2 < len(t.raw) and (t.raw[i + 2][0].islower() or t.kind[i + 2] == "num")
-                else:
-                    plain[w] += 1
-    n = sum(dotted.values()) + sum(plain.values())
-    p = max(sum(dotted.values()) / max(n, 1), 1e-9)
-    out = set()
-    for w, d in dotted.items():
-        c = d + plain[w]
-        rate = min(d / c, 0.99)
-        if c >= 3 and rate > p:
-            llr = 2 * (d * math.log(rate / p) + (c - d) * math.log((1 - rate) / (1 - p)))
-            # a word that only ever ends texts and lines, or starts none of what follows, ends sentences
-            if llr * math.exp(-len(w)) * 3.0 ** -plain[w] > 0.3 and (not ends[w] or goes_on[w] > 0.05 * d):
-                out.add(w)
-    return out
+def _word_counts(t: Tokens, counts: dict[str, list[int]]) -> None:
+    """Of every word: how often it is seen; of short ones, with a full stop, without, with one that ends a text or line, with one after which it goes on."""
+    for i, k in enumerate(t.kind):
+        if k == "word":
+            w = comparison_form(t.raw[i])
+            cell = counts[w]
+            cell[0] += 1
+            if len(t.raw[i]) > 6:
+                continue
+            if i + 1 < len(t.raw) and t.raw[i + 1] == "." and not t.gap[i]:
+                cell[1] += 1
+                cell[3] += t.fixed[i + 1] == 1
+                cell[4] += i + 2 < len(t.raw) and (t.raw[i + 2][0].islower() or t.kind[i + 2] == "num")
+            else:
+                cell[2] += 1
+
+
+def _is_abbreviation(w: str, dotted: int, plain: int, ends: int, goes_on: int, p: float) -> bool:
+    """Whether a short word keeps company with a full stop far more often than the share ``p`` (log-likelihood ratio, damped by length)."""
+    c = dotted + plain
+    if c < 3 or min(dotted / c, 0.99) <= p:
+        return False
+    rate = min(dotted / c, 0.99)
+    part = min(1.0, EVIDENCE / c)
+    llr = 2 * part * (dotted * math.log(rate / p) + plain * math.log((1 - rate) / (1 - p)))
+    # a word that only ever ends texts and lines, or starts none of what follows, ends sentences
+    return llr * math.exp(-len(w)) * 3.0 ** (-plain * part) > 0.3 and (ends <= ACCIDENT * dotted or goes_on > 0.05 * dotted)
+
+
+def _stops(hist: list[str], t: Tokens) -> Iterator[tuple[str, bool]]:
+    """The context of every full stop, and whether a text or line ends there."""
+    for i, h in enumerate(hist):
+        if h in (".", ".a") or t.kind[i] == "dots":
+            yield h if t.kind[i] == "dots" else hist[i - 1] if i else "", t.fixed[i] == 1
+
+
+def _never_ends(k: str, used: int, ends: int, short: set[str]) -> bool:
+    """Contexts that stand before a full stop but do not end lines or texts are no ends of sentences."""
+    return used >= 5 and ends <= ACCIDENT * used and k not in ("N4", "N3", "N:", "N.") and (len(k) <= 3 or k in short)
+
+
+def _stop_share(dotted: int, plain: int) -> float:
+    return max(dotted / max(dotted + plain, 1), 1e-9)
 
 
 def train(texts: list[str], rounds: int = 3, least: int = 6) -> HiddenEventModel:
-    """A model from unlabelled texts."""
+    """A model from unlabelled texts in memory; ``fit`` does the same for a table."""
     tokens = [Tokens(t) for t in texts]
     tokens = [t for t in tokens if t.has_language()]
-    seen = Counter(comparison_form(r) for t in tokens for r, k in zip(t.raw, t.kind, strict=True) if k == "word")
-    model = HiddenEventModel({w for w, n in seen.items() if n >= least}, _abbreviations(tokens))
+    counts: dict[str, list[int]] = defaultdict(lambda: [0] * 5)
+    for t in tokens:
+        _word_counts(t, counts)
+    p = _stop_share(sum(c[1] for c in counts.values()), sum(c[2] for c in counts.values()))
+    model = HiddenEventModel({w for w, c in counts.items() if c[0] >= least}, {w for w, c in counts.items() if _is_abbreviation(w, *c[1:], p)})
     coded = [(*model.classes(t), t) for t in tokens]
-    # contexts that stand before a full stop but never end a line or a text are no ends of sentences
     used, ends = Counter(), Counter()
     for hist, _, t in coded:
-        for i, h in enumerate(hist):
-            if h in (".", ".a") or t.kind[i] == "dots":
-                key = h if t.kind[i] == "dots" else hist[i - 1] if i else ""
-                used[key] += 1
-                ends[key] += t.fixed[i] == 1
-    never = {k for k, n in used.items() if n >= 5 and not ends[k] and k not in ("N4", "N3", "N:", "N.") and (len(k) <= 3 or k in model.short)}
+        for key, end in _stops(hist, t):
+            used[key] += 1
+            ends[key] += end
+    never = {k for k, n in used.items() if _never_ends(k, n, ends[k], model.short)}
     labels = [[_seed(hist, nxt, t, i, never) for i in range(len(hist))] for hist, nxt, t in coded]
     for (hist, nxt, _), y in zip(coded, labels, strict=True):
         model.count(hist, nxt, y)
@@ -413,16 +474,170 @@ def units(text: str, model: HiddenEventModel) -> list[tuple[int, int]]:
     return out
 
 
-def sample_texts(df: DataFrame, id_col: str, text_col: str, n: int) -> list[str]:
-    """The ``n`` non-blank texts with the smallest hash of their id: bounded, and the same whatever the order of the rows."""
-    some = df.select(F.xxhash64(id_col, F.lit(3)).alias("h"), F.substring(F.col(text_col), 1, 4000).alias("t")).filter(r"t rlike '\\S'")
-    return [r["t"] for r in some.orderBy("h", "t").limit(n).collect()]
+class _Every:
+    def __contains__(self, x: object) -> bool:
+        return True
+
+
+def _windows(hist: list[str], nxt: list[str], t: Tokens) -> tuple[list[float | None], set[int], list[str]]:
+    """Values of the gaps that are sure, the gaps whose counts depend on others, and a window for each run of these.
+
+    A sure gap cuts the lattice, so the posteriors of a run of gaps in doubt depend on the token before
+    it, its own tokens and the two after it only. A window holds its tokens and, for each of its gaps,
+    evidence, seed if its context may end a sentence, seed if not, that context, whether it counts.
+    """
+    n = len(hist)
+    a = [_seed(hist, nxt, t, i, ()) for i in range(n)]
+    b = [_seed(hist, nxt, t, i, _Every()) for i in range(n)]
+    doubt = [t.fixed[i] is None and not (a[i] == 0 and b[i] == 0 and t.kind[i] != "end") for i in range(n)]
+    post = [None if i in t.quoted or doubt[i] else a[i] for i in range(n)]
+    skip: set[int] = set()
+    out = []
+    i = 0
+    while i < n:
+        if not doubt[i]:
+            i += 1
+            continue
+        first = i
+        while doubt[i]:  # the last gap of a text is sure
+            i += 1
+        skip.update(range(first, i + 1))
+        lead = first > 0 and post[first - 1] != 1
+        gaps = [[0, None, None, "", 0]] if lead else []
+        for k in range(first, i):
+            key = "" if a[k] == b[k] else hist[k] if t.kind[k] == "dots" else hist[k - 1] if k else ""
+            gaps.append([None, a[k], b[k], key, 2 if t.kind[k] == "end" else 1])
+        sure = int(post[i]) if post[i] is not None else t.fixed[i]
+        gaps.append([sure, None, None, "", int(i not in t.quoted)])
+        if i + 1 < n:
+            gaps.append([1, None, None, "", 0])
+        at = slice(first - lead, i + 2)
+        out.append(json.dumps([hist[at], nxt[at], gaps], ensure_ascii=False, separators=(",", ":")))
+    return post, skip, out
+
+
+def _add_window(model: HiddenEventModel, into: HiddenEventModel, window: str, times: int, never: set[str], seeds: bool) -> None:
+    """Add the counts of a window that occurs ``times`` times: by its seeds, or by the posteriors under ``model``."""
+    hist, nxt, gaps = json.loads(window)
+    seed = [(y1 if key in never else y0) if f is None else (float(f) if counts else None) for f, y0, y1, key, counts in gaps]
+    if seeds:
+        into.count(hist, nxt, seed, times)
+        return
+    sure = [f if f is not None else (v if v == 0 and g[4] != 2 else None) for (f, *_), v, g in zip(gaps, seed, gaps, strict=True)]
+    post = model.posteriors(hist, nxt, sure)
+    into.count(hist, nxt, [v if g[4] else None for v, g in zip(post, gaps, strict=True)], times)
+
+
+_COUNTS = "t string, k string, x string, n bigint, y bigint"
+
+
+def _count_frame(model: HiddenEventModel, extra: list[tuple] = ()) -> pd.DataFrame:
+    rows = [(t, k, x, round(n * STEPS), round(y * STEPS)) for t, k, x, n, y in model.rows()]
+    return pd.DataFrame([*rows, *extra], columns=["t", "k", "x", "n", "y"])
+
+
+def fit(df: DataFrame, text_col: str, rounds: int = 3, least: int = 6) -> HiddenEventModel:
+    """A model from all texts of a table."""
+    spark = df.sparkSession
+    texts = df.select(F.substring(F.col(text_col), 1, 4000).alias("t")).filter(r"t rlike '\\S'")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, list[int]] = defaultdict(lambda: [0] * 5)
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame([(w, *c) for w, c in counts.items()], columns=["w", "seen", "dotted", "plain", "ends", "goes_on"])
+
+        for b in batches:
+            for t in map(Tokens, b["t"].tolist()):
+                if t.has_language():
+                    _word_counts(t, counts)
+            if len(counts) > HELD:
+                yield frame()
+                counts.clear()
+        yield frame()
+
+    sums = [F.sum(c).alias(c) for c in ("seen", "dotted", "plain", "ends", "goes_on")]
+    words = texts.mapInPandas(count_words, "w string, seen bigint, dotted bigint, plain bigint, ends bigint, goes_on bigint").groupBy("w").agg(*sums)
+    words = written(words, "words")
+    total = words.agg(*sums).first()
+    floor = KEY_SHARE * (total["seen"] or 0)
+    p = _stop_share(total["dotted"] or 0, total["plain"] or 0)
+    often = words.filter((F.col("seen") >= max(least, floor)) | ((F.col("dotted") > p * (F.col("dotted") + F.col("plain"))) & (F.col("dotted") + F.col("plain") >= max(3, floor))))
+    kept = often.toArrow().to_pylist()
+    model = HiddenEventModel(
+        {r["w"] for r in kept if r["seen"] >= max(least, floor)},
+        {r["w"] for r in kept if _is_abbreviation(r["w"], r["dotted"], r["plain"], r["ends"], r["goes_on"], p)},
+    )
+    lexicon = spark.sparkContext.broadcast((model.lexicon, model.short))
+
+    def count_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of the sure gaps; windows ("v"), full stops by context ("u") and tokens ("n") beside them."""
+        own = HiddenEventModel(*lexicon.value)
+        seen, stops, tokens = Counter(), defaultdict(lambda: [0, 0]), 0
+
+        def frame() -> pd.DataFrame:
+            more = [("v", w, "", n, 0) for w, n in seen.items()] + [("u", k, "", n, e) for k, (n, e) in stops.items()]
+            return _count_frame(own, [*more, ("n", "", "", tokens, 0)])
+
+        for b in batches:
+            for t in map(Tokens, b["t"].tolist()):
+                if not t.has_language():
+                    continue
+                hist, nxt = own.classes(t)
+                tokens += len(hist)
+                post, skip, windows = _windows(hist, nxt, t)
+                own.count(hist, nxt, post, skip=skip)
+                seen.update(windows)
+                for key, end in _stops(hist, t):
+                    stops[key][0] += 1
+                    stops[key][1] += end
+            if own.size() + len(seen) > HELD:
+                yield frame()
+                own.reset()
+                seen.clear()
+                stops.clear()
+                tokens = 0
+        yield frame()
+
+    merged = [F.sum("n").alias("n"), F.sum("y").alias("y")]
+    counted = written(texts.mapInPandas(count_texts, _COUNTS).groupBy("t", "k", "x").agg(*merged), "counts", ["t"]).select("t", "k", "x", "n", "y")
+    floor = KEY_SHARE * sum(r["n"] for r in counted.filter("t = 'n'").collect())
+    stops = counted.filter("t = 'u'").filter((F.col("n") >= max(5, floor)) & (F.col("y") <= ACCIDENT * F.col("n")))
+    never = {r["k"] for r in stops.toArrow().to_pylist() if _never_ends(r["k"], r["n"], r["y"], model.short)}
+    sure = counted.filter("t not in ('v', 'u', 'n')")
+    windows = counted.filter("t = 'v'").select("k", "n").repartition(parts)
+
+    for k in range(rounds + 1):
+        shipped = spark.sparkContext.broadcast((model.packed() if k else None, never))
+
+        def expect(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            packed, never = shipped.value
+            now = HiddenEventModel.unpacked(packed) if packed else None
+            own = HiddenEventModel(set(), set())
+            for b in batches:
+                for w, n in zip(b["k"].tolist(), b["n"].tolist(), strict=True):
+                    _add_window(now, own, w, n, never, packed is None)
+                if own.size() > HELD:
+                    yield _count_frame(own)
+                    own.reset()
+            yield _count_frame(own)
+
+        both = sure.unionByName(windows.mapInPandas(expect, _COUNTS)).groupBy("t", "k", "x").agg(*merged)
+        table: pa.Table = both.filter(F.col("n") >= (floor * STEPS if floor > 1 else 1)).toArrow()
+        model.reset()
+        cols = [table.column(c).to_pylist() for c in ("t", "k", "x")] + [[v / STEPS for v in table.column(c).to_pylist()] for c in ("n", "y")]
+        model.add_rows(sorted(zip(*cols, strict=True)))
+        model.ready()
+        shipped.destroy()
+    lexicon.destroy()
+    return model
 
 
-def split_sentences(df: DataFrame, id_col: str = "sent_id", text_col: str = "text", fit_texts: int = 8000, model: HiddenEventModel | None = None, with_text: bool = False) -> DataFrame:
+def split_sentences(df: DataFrame, id_col: str = "sent_id", text_col: str = "text", model: HiddenEventModel | None = None, with_text: bool = False) -> DataFrame:
     """(id, char_start, char_end[, unit]) of every sentence unit of every text."""
     spark = df.sparkSession
-    model = model or train(sample_texts(df, id_col, text_col, fit_texts))
+    model = model or fit(df, text_col)
     shipped = spark.sparkContext.broadcast(model.packed())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
