@@ -187,6 +187,19 @@ def test_splitter_is_fitted_on_all_texts(spark):
     assert got == {(len(plain) + k, 0, len(t)) for k, t in enumerate(rare)}
 
 
+def test_whole_texts_are_fitted(spark):
+    long = "Nobody told Anna. We have been waiting. " * 120
+    d = spark.createDataFrame([(k, long + f"We read vgk. Anna wrote {k} of it.") for k in range(6)], "sent_id bigint, text string")
+    last = sentences.split_sentences(d, with_text=True).groupBy("sent_id").agg(F.max_by("unit", "char_start").alias("u")).collect()
+    assert {r["u"] for r in last} == {f"We read vgk. Anna wrote {k} of it." for k in range(6)}
+
+
+def test_whole_labelled_texts_are_fitted(spark):
+    d = table(spark, [("7 " * 10_500 + "\n" + " ".join(t), lab) for t, lab in ((EN, "en"), (DE, "de"))])
+    got = {(r["sent_id"], r["language"]) for r in language.text_languages(language.classify_units(d).filter("full_sentence")).collect()}
+    assert got == {(0, "en"), (1, "de")}
+
+
 def test_distributed_fit_equals_fit_in_memory(spark):
     texts = EN * 5 + DE * 5 + SINGLE_EN * 2 + SINGLE_DE * 2 + ['He said: "Go. Now." (It was late.) Then he left', "สวัสดี ครับ", "12 34", ""]
     d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)

@@ -156,7 +156,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language:
     rows = labelled.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20)).select("t", "y").collect()
     docs, labels = [], []
     for t, y in sorted((r["t"], r["y"]) for r in rows):
-        for s, e in units(t[:20_000], splitter):
+        for s, e in units(t, splitter):
             if ws := content_words(t[s:e]):
                 docs.append(ws)
                 labels.append(y)

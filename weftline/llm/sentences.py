@@ -539,7 +539,7 @@ def _count_frame(model: HiddenEventModel, extra: list[tuple] = ()) -> pd.DataFra
 def fit(df: DataFrame, text_col: str, rounds: int = 3, least: int = 6) -> HiddenEventModel:
     """A model from all texts of a table."""
     spark = df.sparkSession
-    texts = df.select(F.substring(F.col(text_col), 1, 4000).alias("t")).filter(r"t rlike '\\S'")
+    texts = df.select(F.col(text_col).alias("t")).filter(r"t rlike '\\S'")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
