@@ -109,6 +109,16 @@ def test_passages(spark):
     assert leakage.find_passages(docs.limit(0), items).count() == 0 and leakage.find_passages(docs, items.limit(0)).count() == 0
 
 
+def test_repeated_passages_are_searched(spark):
+    p = "The quick brown fox jumps over one lazy dog. Seven old green boats came home before winter today."
+    ask = "Read this with care and answer."
+    items = [(1, p), (2, p), (3, p), (4, p.lower()), (5, ask), (6, ask + " Six red kites flew."), (7, ask + " Nine quiet hills stood.")]
+    docs = spark.createDataFrame([(1, "so it was " + p + " and so on"), (2, "six red kites flew")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_passages(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 6)}
+    assert leakage.passages(items)[5] == leakage.words(ask)
+
+
 # -- 4 -------------------------------------------------------------------------------------------------
 def test_edits_against_brute_force():
     def slow(a, b):

@@ -59,10 +59,13 @@ def words(text: str) -> list[str]:
 
 
 def passages(items: list[tuple[int, str]], shared: int = 3) -> dict[int, list[str]]:
-    """Words of each item without sentences that ``shared`` or more items have in common (instructions)."""
+    """Words of each item without sentences that ``shared`` or more different items have in common (instructions).
+
+    Items of the same words count once; an item of such sentences only keeps them.
+    """
     cut = {i: [w for s in _SENTENCE_END.split(t) if (w := tuple(words(s)))] for i, t in items if t is not None}
-    often = Counter(s for own in cut.values() for s in set(own))
-    return {i: [w for s in own if often[s] < shared for w in s] for i, own in cut.items()}
+    often = Counter(s for own in {tuple(own) for own in cut.values()} for s in set(own))
+    return {i: [w for s in own if often[s] < shared for w in s] or [w for s in own for w in s] for i, own in cut.items()}
 
 
 def build_index(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
