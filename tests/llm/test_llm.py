@@ -112,11 +112,50 @@ def test_passages(spark):
 def test_repeated_passages_are_searched(spark):
     p = "The quick brown fox jumps over one lazy dog. Seven old green boats came home before winter today."
     ask = "Read this with care and answer."
-    items = [(1, p), (2, p), (3, p), (4, p.lower()), (5, ask), (6, ask + " Six red kites flew."), (7, ask + " Nine quiet hills stood.")]
+    items = spark.createDataFrame([(1, p), (2, p), (3, p), (4, p.lower()), (5, ask), (6, ask + " Six red kites flew."), (7, ask + " Nine quiet hills stood.")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "so it was " + p + " and so on"), (2, "six red kites flew")], "doc_id bigint, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_passages(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_passages(docs, items).collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 6)}
-    assert leakage.passages(items)[5] == leakage.words(ask)
+    assert got == {(r["doc_id"], r["item_id"]) for r in leakage.find_passages(docs, items, block=1).collect()}
+    assert {r["item_id"]: r["words"] for r in leakage.passages(items).collect()}[5] == leakage.words(ask)
+
+
+def test_what_a_stretch_is(spark):
+    w = [f"a{k}" for k in range(20)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    cases = [
+        (1, [x for v in w for x in (v, "zz")], True),  # a foreign word after each
+        (2, w[:10] + ["zz"] * 60 + w[10:], True),  # one foreign stretch
+        (3, w[:8] + ["zz"] * 61 + w[8:16], False),  # longer than slack
+        (4, w[:4] + ["zz"] * 9 + w[4:8] + ["zz"] * 9 + w[8:12], False),  # scattered phrases
+        (5, w[:3] + w[6:9] + w[12:16], True),  # words missing, half of them there
+        (6, list(reversed(w)), False), (7, w[:9], False), (8, w[:5] + w[15:], True),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(["yy"] * 50 + t + ["yy"] * 50)) for i, t, _ in cases], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_found"] for r in leakage.find_passages(docs, items).collect()}
+    assert set(got) == {i for i, _, found in cases if found} and got[1] == got[2] == 20 and got[5] == got[8] == 10
+
+
+def test_best_chain_equals_brute_force():
+    def slow(m, near, slack):
+        best = {}
+        for i, (p, o) in enumerate(m):
+            best[i] = [1, 1]
+            for k, (q, u) in enumerate(m[:i]):
+                if q < p and u < o and p - q <= slack + 1:
+                    if p - q <= near and o - u <= near:
+                        best[i] = [max(a, b + 1) for a, b in zip(best[i], best[k])]
+                    best[i][1] = max(best[i][1], best[k][0] + 1)
+        return max(b[1] for b in best.values())
+
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        n = int(rng.integers(1, 60))
+        m = sorted({(int(rng.integers(0, 90)), int(rng.integers(0, 25))) for _ in range(n)}, key=lambda x: (x[0], x[1]))
+        pos, off = np.array([p for p, _ in m]), np.array([o for _, o in m])
+        true = slow(m, 4, 20)
+        for need in (1, true, true + 1):
+            assert leakage.best_chain(pos, off, need, 4, 20) == (true if true >= need else 0)
 
 
 # -- 4 -------------------------------------------------------------------------------------------------
@@ -145,6 +184,69 @@ def test_link_names(spark):
     got = {r["entity_id"]: r["ref_id"] for r in names.link_mentions(d.unionByName(d), reg).collect()}
     assert got == {i: good[t] for i, t, _ in rows if t in good}
     assert names.link_mentions(d, reg.limit(0)).count() == 0 and names.link_mentions(d.limit(0), reg).count() == 0
+    assert got == {r["entity_id"]: r["ref_id"] for r in names.link_mentions(d, reg, block=1, split=2).collect()}
+
+
+#: Names that share nothing with the project's tables: no name of the register, other legal forms.
+OTHERS = [
+    (1, "Thomas Wexham", "person"), (2, "Anthony Corvane", "person"), (3, "Barbara Milvane", "person"), (4, "Michael Astbury", "person"), (5, "Nicholas Penhallow", "person"),
+    (6, "Patricia Uxbridge", "person"), (7, "Christopher Yarrow", "person"), (8, "Alexander Quimby", "person"), (9, "Mogens Kjeldsen", "person"), (10, "Rebecca Thistlewood", "person"),
+    (11, "Acmero Textiles AG", "organization"), (12, "Corvidal Metals LLC", "organization"), (13, "Studio54 Records SL", "organization"), (14, "Nordhavn Shipping ApS", "organization"),
+    (15, "Brandal Fisk AS", "organization"), (16, "Wolvercote Paper PLC", "organization"), (17, "Tolvane Optics BV", "organization"), (18, "Ostrava Steel s.r.o.", "organization"), (19, "Kanto Denki KK", "organization"), (20, "Zubiri Foods SA", "organization"),
+]
+TYPED = {
+    "Tom Wexham": 1, "Wexham, Thomas": 1, "T. Wexham": 1, "Thomsa Wexham": 1, "Tony Corvane": 2, "Anthony Corvnae": 2, "Babs Milvane": 3, "Barbara B. Milvane": 3, "Mike Astbury": 4, "MICHAEL ASTBURRY": 4,
+    "Nick Penhallow": 5, "Penhalow Nicholas": 5, "Trish Uxbridge": 6, "Patrica Uxbridge": 6, "Chris Yarrow": 7, "ChristopherYarrow": 7, "Alex Quimby": 8, "Alexander Qiumby": 8, "Mogens Kjeldsn": 9, "Becky Thistlewood": 10, "R. Thistlewood": 10,
+    "Acmero Textiles A.G.": 11, "Acmero Text. Aktiengesellschaft": 11, "Corvidal Metals L.L.C.": 12, "Corvidal Metals Limited Liability Company": 12, "Studio54 Recrods SL": 13, "Acmero Textiles AG (2)": 11, "Studi054 Records S.L.": 13, "Studio 54 Records SL": 13,
+    "Nordhavn Shiping ApS": 14, "Brandall Fisk": 15, "Wolvercote Paper Public Limited Company": 16, "Optics Tolvane B.V.": 17, "Ostrava Stele sro": 18, "Kanto Denki K.K.": 19, "Zubiri Foods Sociedad Anónima": 20, "Zubiri Foods S. A.": 20,
+}
+
+
+def test_names_outside_the_project(spark):
+    reg = spark.createDataFrame(OTHERS, "ref_id bigint, name string, label string")
+    no = ["Tom Milvane", "Nordhavn Shipping SARL", "Uxbridge", "Records SL", "Michael Quimby", "12 May 1990", "Zubiri Metals SA", "a.b@c.example", "Kjeldsen & Sons"]
+    rows = list(enumerate([*TYPED, *no]))
+    got = {r["entity_id"]: r["ref_id"] for r in names.link_mentions(spark.createDataFrame(rows, "entity_id bigint, text string"), reg).collect()}
+    right = sum(got.get(i) == TYPED[t] for i, t in rows if t in TYPED)
+    assert right / len(TYPED) >= 0.9 and not [t for i, t in rows if t in no and i in got] and all(TYPED[rows[i][1]] == k for i, k in got.items())
+
+
+def test_words_are_counted_over_the_whole_register(spark):
+    reg = spark.createDataFrame([(k, f"{w} Textiles S.L.", "organization") for k, w in enumerate(("Acmero", "Brunav", "Corvidal"))], "ref_id bigint, name string, label string")
+    d = spark.createDataFrame([(1, "Acmero Text. SL"), (2, "Brunv Textiles")], "entity_id bigint, text string")
+    one, many = ({tuple(r) for r in names.link_mentions(d, reg, block=b, split=1).collect()} for b in (1, 20_000))
+    assert one == many == {(1, 0), (2, 1)}
+
+
+def test_short_forms_are_learned(spark):
+    surnames = [a + b for a in ("Wex", "Corv", "Milv", "Astb", "Penh", "Uxbr") for b in ("ane", "ury", "ollow", "idge")]
+    reg = [(k, f"{'Zebedee' if k % 3 == 0 else 'Ottoline' if k % 3 == 1 else 'Ferelith'} {s}", "person") for k, s in enumerate(surnames)]
+    said = [(k, f"Zuzu {s}") for k, s in enumerate(surnames) if k % 3 == 0] + [(100 + k, f"Birgit {s}") for k, s in enumerate(surnames)]
+    got = {r["entity_id"]: r["ref_id"] for r in names.link_mentions(spark.createDataFrame(said, "entity_id bigint, text string"), spark.createDataFrame(reg, "ref_id bigint, name string, label string")).collect()}
+    assert got == {k: k for k in range(0, len(surnames), 3)}
+
+
+def test_bands_find_what_brute_force_finds(spark):
+    reg = spark.createDataFrame(OTHERS, "ref_id bigint, name string, label string")
+    rng = random.Random(9)
+
+    def mistyped(t):
+        for _ in range(rng.randrange(1, 3)):
+            k = rng.randrange(1, len(t) - 1)
+            t = rng.choice([t[:k] + t[k + 1 :], t[:k] + t[k + 1] + t[k] + t[k + 2 :], t[:k] + rng.choice("aeinrst") + t[k + 1 :], t[:k] + t[k] + t[k:]])
+        return t
+
+    texts = sorted({mistyped(n) for _, n, _ in OTHERS for _ in range(30)})
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {(r["text"], r["ref_id"]) for r in names.link_names(d, reg, exact=True).collect()}
+    known = [names.Entry(i, n, k, [], [], []) for i, n, k in OTHERS]
+    every = set()
+    for t in texts:
+        ws, legal, whole = names.parse(t)
+        s = sorted(((e.similarity(names.comparison_form(t), ws, legal, whole), e.ref_id) for e in known), reverse=True)
+        if s[0][0] >= 0.78 and s[0][0] > s[1][0]:
+            every.add((t, s[0][1]))
+    assert got <= every and len(got) >= 0.97 * len(every)
 
 
 def test_band_plan_follows_the_collision_curve():

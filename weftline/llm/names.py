@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Container, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -328,6 +328,8 @@ class MinHash:
         """One row for each list of words; empty lists count as one empty word."""
         if len(self.row) > self.most:
             self.row, self.known = {}, self.known[:0]
+        if not sets:
+            return self.known[:0]
         sets = [s or [""] for s in sets]
         if new := list(dict.fromkeys(w for s in sets for w in s if w not in self.row)):
             self._learn(new)
@@ -403,19 +405,37 @@ def word_table(entries: DataFrame, shared: int, share: float) -> DataFrame:
     return every.select("word", generic.alias("generic"), ((generic | given) & F.col("kept").isNull()).alias("familiar"))
 
 
-def own_words(words: Sequence[str], familiar: Sequence[str]) -> list[str]:
-    """What a name is known by: its longer words that are not familiar, or all of them."""
-    known = set(familiar)
-    return [w for w in words if len(w) > 1 and w not in known] or [w for w in words if len(w) > 1]
+def own_words(words: Sequence[str], familiar: Container[str]) -> list[str]:
+    """What an entry is known by: its longer words that are not familiar, or all of them."""
+    return [w for w in words if len(w) > 1 and w not in familiar] or [w for w in words if len(w) > 1]
 
 
-def short_forms(parsed: DataFrame, entries: DataFrame, least: int = 4, part: float = 0.3, lift: float = 4.0, common: int = 20) -> DataFrame:
+def _shorter(word: str) -> set[str]:
+    return {word[:k] + word[k + 1 :] for k in range(len(word))}
+
+
+_FIRST_SHORTER = frozenset(x for n in FIRST_NAMES if len(n) > 4 for x in (n, *_shorter(n)))
+
+
+@lru_cache(maxsize=1 << 17)
+def like_first(word: str) -> bool:
+    """Whether a word of five letters or more is a common first name with a typing error (both share a word one letter shorter)."""
+    return len(word) > 4 and (word in _FIRST_SHORTER or not _FIRST_SHORTER.isdisjoint(_shorter(word)))
+
+
+def typed_words(words: Sequence[str], familiar: Container[str], known: Container[str]) -> list[str]:
+    """The same of a typed name, whose first name may hold typing errors; ``known``: words of the register that are not familiar."""
+    own = [w for w in words if len(w) > 1 and (w in known or not (w in familiar or w in FIRST_NAMES or like_first(w)))]
+    return own or [w for w in words if len(w) > 1]
+
+
+def short_forms(parsed: DataFrame, entries: DataFrame, least: int = 4, part: float = 0.3, evidence: float = 6.0, common: int = 20) -> DataFrame:
     """first, short: words that stand for a first name of the register, as the mentions show it.
 
     ``parsed`` holds distinct texts with their words. Of the surnames with which a word occurs, at
-    least ``least`` and a ``part`` must be surnames of entries of that first name, and ``lift`` times
-    as many as chance has it. Surnames that more than ``common`` first names share are no evidence,
-    which bounds the join; first names of the register are no short forms.
+    least ``least`` and a ``part`` must be surnames of entries of that first name, and more than chance
+    has it by a log-likelihood ratio of ``evidence``. Surnames that more than ``common`` first names
+    share are no evidence, which bounds the join; first names of the register are no short forms.
     """
     people = entries.filter("label = 'person' and size(words) > 1").select(F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last")).distinct()
     rare = people.groupBy("last").agg(F.count("*").alias("n")).filter(F.col("n") <= common).select("last")
@@ -426,8 +446,10 @@ def short_forms(parsed: DataFrame, entries: DataFrame, least: int = 4, part: flo
     seen = seen.filter("length(short) > 1").distinct().join(rare, "last").join(people.select(F.col("first").alias("short")).distinct(), "short", "left_anti")
     often = seen.groupBy("short").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
     pairs = seen.join(people, "last").groupBy("short", "first").agg(F.count("*").alias("j")).filter(F.col("j") >= least)
-    good = (F.col("j") >= part * F.col("k")) & (F.col("j") * F.col("all") >= lift * F.col("k") * F.col("c"))
-    return pairs.join(often, "short").join(share, "first").filter(good).select("first", "short")
+    j, k, p = F.col("j"), F.col("k"), F.col("c") / F.col("all")
+    other = F.when(j < k, (k - j) * F.log((k - j) / (k * (1 - p)))).otherwise(0.0)
+    good = (j >= part * k) & (j > k * p) & (j * F.log(j / (k * p)) + other >= evidence)
+    return pairs.join(often, "short").join(share, "first").filter((p < 1) & good).select("first", "short")
 
 
 _LINK = "text string, ref_id bigint, similarity double"
@@ -449,7 +471,7 @@ def link_names(
     entries = written(_parsed(entries, "name"), "register")
     shorts = short_forms(parsed, entries).groupBy("first").agg(F.array_sort(F.collect_set("short")).alias("aliases"))
     entries = entries.withColumn("first", F.try_element_at("words", F.lit(1))).join(shorts, "first", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
-    words = word_table(entries, shared, share)
+    words = written(word_table(entries, shared, share), "vocabulary")
     flags = F.array_sort(F.collect_set(F.when(F.col("generic"), F.col("word")))).alias("generic"), F.array_sort(F.collect_set(F.when(F.col("familiar"), F.col("word")))).alias("familiar")
     marked = entries.select("ref_id", F.explode_outer("words").alias("word")).join(words, "word", "left").groupBy("ref_id").agg(*flags)
     entries = written(entries.select("ref_id", "name", "label", "words", "aliases").join(marked, "ref_id"), "entries")
@@ -466,11 +488,12 @@ def _entry(r) -> Entry:
 def _search_broadcast(parsed: DataFrame, entries: DataFrame, words: DataFrame, plan: tuple[int, int], q: int, least: float, accept: float) -> DataFrame:
     """Links of a register whose size has been checked: texts meet the bands of all entries in place."""
     spark = parsed.sparkSession
-    familiar = {r["word"] for r in words.filter("familiar").select("word").collect()} | FIRST_NAMES - {r["word"] for r in words.filter("not familiar").select("word").collect()}
-    shipped = spark.sparkContext.broadcast((sorted(map(tuple, entries.select("ref_id", "name", "label", "words", "aliases", "generic", "familiar").collect())), familiar))
+    vocabulary = {r["word"]: r["familiar"] for r in words.select("word", "familiar").collect()}
+    familiar, other = ({w for w, f in vocabulary.items() if f is x} for x in (True, False))
+    shipped = spark.sparkContext.broadcast((sorted(map(tuple, entries.select("ref_id", "name", "label", "words", "aliases", "generic", "familiar").collect())), familiar, other))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, familiar = shipped.value
+        rows, familiar, other = shipped.value
         known = [Entry(i, name, kind, aliases, generic, own_words(ws, fam)) for i, name, kind, ws, aliases, generic, fam in rows]
         hashing = MinHash(*plan, q)
         mine = hashing.signatures([e.own for e in known])
@@ -480,7 +503,7 @@ def _search_broadcast(parsed: DataFrame, entries: DataFrame, words: DataFrame, p
             index.append((key[order], order))
         for b in batches:
             texts = b["text"].tolist()
-            sig = hashing.signatures([own_words(ws, familiar) for ws in b["words"]])
+            sig = hashing.signatures([typed_words(ws, familiar, other) for ws in b["words"]])
             pairs = [np.zeros(0, dtype=np.int64)]
             for key, (sorted_, order) in zip(hashing.keys(sig), index, strict=True):
                 lo, hi = np.searchsorted(sorted_, key, "left"), np.searchsorted(sorted_, key, "right")
@@ -505,24 +528,24 @@ def _search_broadcast(parsed: DataFrame, entries: DataFrame, words: DataFrame, p
 def _search_shuffled(parsed: DataFrame, entries: DataFrame, words: DataFrame, plan: tuple[int, int], q: int, least: float, accept: float, split: int) -> DataFrame:
     """The same links for a register of any size: bands of both sides meet by shuffle, crowded ones in parts."""
     spread = parsed.withColumn("id", F.xxhash64("text")).repartition("id", "text")
-    known = words.filter("familiar").select("word", F.lit(True).alias("f")).unionByName(
-        parsed.sparkSession.createDataFrame([(w,) for w in sorted(FIRST_NAMES)], "word string").join(words, "word", "left_anti").withColumn("f", F.lit(True))
-    )
-    flagged = spread.select("id", "text", F.explode("words").alias("word")).join(known, "word").groupBy("id", "text").agg(F.array_sort(F.collect_set("word")).alias("familiar"))
+    flags = [F.array_sort(F.collect_set(F.when(F.col("familiar") == f, F.col("word")))).alias(n) for n, f in (("familiar", True), ("known", False))]
+    flagged = spread.select("id", "text", F.explode("words").alias("word")).join(words.select("word", "familiar"), "word").groupBy("id", "text").agg(*flags)
     none = F.array().cast("array<string>")
-    texts = written(spread.join(flagged, ["id", "text"], "left").select("text", "words", "legal", "every", F.coalesce("familiar", none).alias("familiar")), "texts")
+    texts = spread.join(flagged, ["id", "text"], "left").select("text", "words", "legal", "every", F.coalesce("familiar", none).alias("familiar"), F.coalesce("known", none).alias("known"))
+    texts = written(texts, "texts")
 
-    def banded(rows: DataFrame, id_col: str, kind: str) -> DataFrame:
+    def banded(rows: DataFrame, id_col: str, kind: str, more: Sequence[str] = ()) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashing = MinHash(*plan, q)
             for b in batches:
-                sig = hashing.signatures([own_words(ws, f) for ws, f in zip(b["words"], b["familiar"], strict=True)])
+                own = typed_words if more else own_words
+                sig = hashing.signatures([own(ws, *f) for ws, *f in zip(b["words"], b["familiar"], *[b[c] for c in more], strict=True)])
                 yield pd.DataFrame({id_col: b[id_col], "keys": list(np.stack([k.view(np.int64) for k in hashing.keys(sig)], axis=1))})
 
-        out = rows.select(id_col, "words", "familiar").mapInPandas(run, f"{id_col} {kind}, keys array<bigint>")
+        out = rows.select(id_col, "words", "familiar", *more).mapInPandas(run, f"{id_col} {kind}, keys array<bigint>")
         return out.select(id_col, F.explode("keys").alias("key"))
 
-    a, b = banded(texts, "text", "string"), written(banded(entries, "ref_id", "bigint"), "bands")
+    a, b = banded(texts, "text", "string", ["known"]), written(banded(entries, "ref_id", "bigint"), "bands")
     a = written(a.join(b.select("key").distinct(), "key", "left_semi"), "bands")
     crowd = b.groupBy("key").agg(F.count("*").alias("nb")).join(a.groupBy("key").agg(F.count("*").alias("na")), "key")
     parts = crowd.select("key", F.ceil(F.col("na") / split).cast("int").alias("pa"), F.ceil(F.col("nb") / split).cast("int").alias("pb"))
@@ -534,7 +557,7 @@ def _search_shuffled(parsed: DataFrame, entries: DataFrame, words: DataFrame, pl
         return d.select(id_col, "key", "sa", "sb")
 
     pairs = placed(a, "text", "a", "b").join(placed(b, "ref_id", "b", "a"), ["key", "sa", "sb"]).select("text", "ref_id").distinct()
-    mine = texts.withColumnsRenamed({"words": "t_words", "familiar": "t_familiar", "legal": "t_legal", "every": "t_every"})
+    mine = texts.withColumnsRenamed({"words": "t_words", "familiar": "t_familiar", "known": "t_known", "legal": "t_legal", "every": "t_every"})
     both = pairs.join(mine, "text").join(entries, "ref_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -544,7 +567,7 @@ def _search_shuffled(parsed: DataFrame, entries: DataFrame, words: DataFrame, pl
             for s in range(0, len(big), 10_000):
                 part = big.iloc[s : s + 10_000]
                 rows = part.to_dict("records")
-                ours = hashing.signatures([own_words(r["t_words"], r["t_familiar"]) for r in rows])
+                ours = hashing.signatures([typed_words(r["t_words"], r["t_familiar"], r["t_known"]) for r in rows])
                 theirs = hashing.signatures([own_words(r["words"], r["familiar"]) for r in rows])
                 at = np.arange(len(rows))
                 for k in np.flatnonzero(agreement(ours, at, theirs, at) >= least).tolist():
