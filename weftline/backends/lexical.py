@@ -44,7 +44,7 @@ def weights(label: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
 
 
 class LexicalBackend:
-    count_slots = 3
+    count_slots, slot_step = 20, 2
 
     def _features(self, word: Column) -> list[Column]:
         return [F.lit(1), *[word.rlike(j).cast("int") for _, j, _ in FEATURES], (F.length(word) >= 8).cast("int")]
@@ -65,6 +65,12 @@ class LexicalBackend:
     def width_scores(self, labels: Sequence[str], max_width: int) -> list[list[int]]:
         return [[1 - abs(k - 1) for _ in labels] for k in range(max_width)]
 
+    def end_bounds(self, labels: Sequence[str]) -> list[float]:
+        return [v[0] + sum(w for w in v[1:] if w > 0) for v in (weights(x)[1] for x in labels)]
+
+    def counted(self, word: Column) -> Column:
+        return word.rlike(r"^\p{Lu}").cast("int")
+
     # the same in SQL, for checks against another engine
     def sql_scores(self, word: str, labels: Sequence[str], which: int) -> str:
         rows = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,16 +26,18 @@ def bare(spaced: Column) -> Column:
     return F.regexp_replace(spaced, r"(?U)^\s+", "")
 
 
-def word_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, pos, word, char_start, char_end, byte_start, byte_end; one row per word.
+def word_table(df: DataFrame, id_col: str, text_col: str, keep: Mapping[str, Column] | None = None) -> DataFrame:
+    """id, pos, word, spaced, char_start, char_end, byte_start, byte_end and the columns ``keep``; one row per word.
 
+    ``spaced`` is the word with the space before it: the spaced words of a span, joined, are its text.
     Texts are placed by id before they are exploded; the window and whatever is grouped by id later
     need no further exchange.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").repartition("id")
-    m = texts.select("id", F.posexplode(spaced_words(F.col("text"))).alias("pos", "m")).withColumn("word", bare(F.col("m")))
+    more = list(keep or {})
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in (keep or {}).items()]).filter("text is not null").repartition("id")
+    m = texts.select("id", *more, F.posexplode(spaced_words(F.col("text"))).alias("pos", "spaced")).withColumn("word", bare(F.col("spaced")))
     up_to = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = m.withColumns({"char_end": F.sum(F.length("m")).over(up_to), "byte_end": F.sum(F.octet_length("m")).over(up_to)})
+    ends = m.withColumns({"char_end": F.sum(F.length("spaced")).over(up_to), "byte_end": F.sum(F.octet_length("spaced")).over(up_to)})
     return ends.select(
-        "id", "pos", "word", (F.col("char_end") - F.length("word")).alias("char_start"), "char_end", (F.col("byte_end") - F.octet_length("word")).alias("byte_start"), "byte_end"
+        "id", "pos", "word", "spaced", (F.col("char_end") - F.length("word")).alias("char_start"), "char_end", (F.col("byte_end") - F.octet_length("word")).alias("byte_start"), "byte_end", *more
     )

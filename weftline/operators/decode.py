@@ -51,14 +51,14 @@ def suppress(df: DataFrame, group: Sequence[str], flat: bool | Column = False, o
     return kept.withColumn("rank", rank).select(*df.columns, "rank")
 
 
-def pair_relations(kept: DataFrame, group: Sequence[str], fields: Sequence[str], head: str = "head", tail: str = "tail") -> DataFrame:
-    """The best head with the best tail of each group; ``relation_type`` is the first field's name."""
+def pair_relations(kept: DataFrame, group: Sequence[str], head: str = "head", tail: str = "tail") -> DataFrame:
+    """The best head with the best tail of each group."""
     one = F.struct("text", "label", "score", "start_tok", "end_tok")
     best = kept.groupBy(*group).agg(
         F.min_by(F.when(F.col("label") == head, one), F.when(F.col("label") == head, F.col("rank"))).alias("head"),
         F.min_by(F.when(F.col("label") == tail, one), F.when(F.col("label") == tail, F.col("rank"))).alias("tail"),
     )
-    return best.filter("head is not null and tail is not null").withColumn("relation_type", F.lit(fields[0]))
+    return best.filter("head is not null and tail is not null")
 
 
 def softmax_best(logits: DataFrame, group: Sequence[str], last_wins: bool) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +23,11 @@ def enumerate_spans(words: DataFrame, max_width: int = 8, padding: str = "refere
     return out if padding == "reference" else out.filter(~F.col("is_padding"))
 
 
-def logit_of(threshold: float) -> float:
+def logit_of(threshold: float | Column) -> float | Column:
     """The logit above which sigmoid exceeds ``threshold``."""
-    import math
-
+    if isinstance(threshold, Column):
+        t = threshold.cast("double")
+        return F.when(t <= 0, F.lit(-math.inf)).when(t >= 1, F.lit(math.inf)).otherwise(F.log(t / (1 - t)))
     if threshold <= 0:
         return -math.inf
     return math.inf if threshold >= 1 else math.log(threshold / (1 - threshold))
@@ -35,42 +38,58 @@ def sigmoid(x: Column) -> Column:
 
 
 def candidates(
-    words: DataFrame, labels: Sequence[str], backend: Backend, threshold: float, max_width: int = 8, padding: str = "reference", slot_step: int = 2
-) -> DataFrame:
-    """Spans above the threshold: id, c_idx, start, width_idx, end, label_idx, label, logit, score, offsets, is_padding.
-
-    ``words`` carries id, pos, word, offsets and subword positions. A window of the next words brings
-    the end attributes, so there is no join; offsets travel, text does not. A window past the end is
-    scored as the span of word 0, as the reference does, unless ``padding="mask"``.
+    words: DataFrame, labels: Sequence[str] | Sequence[tuple[int, Sequence[str]]], backend: Backend, threshold: float | Column, max_width: int = 8,
+    padding: str = "reference", keep: Sequence[str] = (),
+) -> DataFrame:
+    """Spans above the threshold: id, c_idx, start, width_idx, end, task_idx, label_idx, label, logit, score, offsets, text, is_padding, ``keep``.
 
-    A slot lowers all logits by ``slot_step``, so the first slot decides which spans are expanded at all.
+    ``words`` comes from ``word_table`` with subword positions. ``labels`` are those of one task or
+    (task_idx, labels) of several, which are scored together. The attributes of the next words come by
+    lead over the placement the words already have, so there is no join. Per word and label a bound on
+    what the last word can add decides whether widths are tried at all; widths are rows of plain
+    columns inside whole-stage code. A window past the end is scored as the span of word 0, as the
+    reference does, unless ``padding="mask"``. Each further slot lowers all logits, so only slots that
+    can still pass are expanded.
     """
-    labels = list(labels)
-    here = Window.partitionBy("id").orderBy("pos")
-    scored = words.withColumns({"s": backend.start_scores(F.col("word"), labels), "e": backend.end_scores(F.col("word"), labels)})
-    ahead = F.collect_list(F.struct("e", "char_end", "byte_end", "end_tok")).over(here.rowsBetween(0, max_width - 1))
-    zero = F.first(F.struct("s", "e")).over(here.rowsBetween(Window.unboundedPreceding, 0))
-    upper = F.sum(F.col("word").rlike(r"^\p{Lu}").cast("int")).over(Window.partitionBy("id"))
-    rows = scored.select("id", "pos", "char_start", "byte_start", "start_tok", "s", ahead.alias("ahead"), zero.alias("zero"), F.least(upper, F.lit(3)).alias("slots"))
-    w = backend.width_scores(labels, max_width)
-    n = F.size("ahead")
-    options = []
-    for k in range(max_width):
-        pad = F.lit(k) >= n
-        last = F.element_at("ahead", F.least(F.lit(k + 1), n))
-        for m in range(len(labels)):
-            own = F.col("s")[m] + last["e"][m] + w[k][m]
-            zeroth = F.col("zero.s")[m] + F.col("zero.e")[m] + w[0][m]
-            options.append(F.struct(F.lit(k).alias("width_idx"), F.lit(m).alias("label_idx"), F.when(pad, zeroth).otherwise(own).alias("logit"), pad.alias("is_padding")))
+    groups = [(0, list(labels))] if labels and isinstance(labels[0], str) else [(t, list(ls)) for t, ls in labels]
+    table = [(t, m, x) for t, ls in groups for m, x in enumerate(ls)]
+    names = [x for _, _, x in table]
     cut = logit_of(threshold)
-    good = F.filter(F.array(*options), lambda o: (o["logit"] > F.lit(cut)) & (~o["is_padding"] if padding == "mask" else F.lit(True)))
-    spans = rows.withColumn("o", F.explode(good)).withColumn("last", F.element_at("ahead", F.least(F.col("o.width_idx") + 1, n)))
-    slotted = spans.withColumn("c_idx", F.explode(F.when(F.col("slots") > 0, F.sequence(F.lit(0), (F.col("slots") - 1).cast("int")))))
-    names = F.array(*[F.lit(x) for x in labels])
+    cut = cut if isinstance(cut, Column) else F.lit(float(cut))
+    here = Window.partitionBy("id").orderBy("pos")
+    whole = here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = F.struct("e", "char_end", "byte_end", "end_tok", "spaced")
+    scored = words.withColumns({"s": backend.start_scores(F.col("word"), names), "e": backend.end_scores(F.col("word"), names), "_u": backend.counted(F.col("word")), "_cut": cut})
+    rows = scored.withColumns({
+        **{f"l{k}": F.lead(carried, k).over(here) for k in range(1, max_width)}, "l0": carried,
+        "zs": F.first("s").over(here.rowsBetween(Window.unboundedPreceding, 0)), "ze": F.first("e").over(here.rowsBetween(Window.unboundedPreceding, 0)),
+        "slots": F.least(F.sum("_u").over(whole), F.lit(backend.count_slots)).cast("int"), "left": (F.count("*").over(whole) - F.col("pos")).cast("int"),
+    })
+    w = backend.width_scores(names, max_width)
+    most = [e + max(w[k][g] for k in range(max_width)) for g, e in enumerate(backend.end_bounds(names))]
+    near_end = (F.col("left") < max_width) & F.lit(padding == "reference")
+    hope = [(F.col("s")[g] + float(most[g]) > F.col("_cut")) | (near_end & (F.col("zs")[g] + F.col("ze")[g] + w[0][g] > F.col("_cut"))) for g in range(len(table))]
+    ahead = [F.coalesce(F.col(f"l{k}.spaced"), F.lit("")) for k in range(1, max_width)]
+    starts = rows.filter((F.col("slots") > 0) & reduce(lambda a, b: a | b, hope)).select(
+        "id", "pos", "left", "slots", "s", "zs", "ze", "_cut", "char_start", "byte_start", "start_tok", F.concat("word", *ahead).alias("run"),
+        F.coalesce(*[F.col(f"l{k}") for k in range(max_width - 1, -1, -1)]).alias("last"), F.array(*[F.col(f"l{k}") for k in range(max_width)]).alias("ls"),
+        F.explode(F.array(*[F.when(h, F.lit(g)) for g, h in enumerate(hope)])).alias("g"), *keep,
+    ).filter("g is not null")
+    wide = starts.select("*", F.posexplode("ls").alias("width_idx", "l")).drop("ls")
+    pad = F.col("l").isNull()
+    g, k = F.col("g"), F.col("width_idx")
+    flat = F.array(*[F.lit(x) for row in w for x in row])
+    own = F.col("s")[g] + F.col("l.e")[g] + flat[k * len(table) + g]
+    zeroth = F.col("zs")[g] + F.col("ze")[g] + F.array(*[F.lit(x) for x in w[0]])[g]
+    good = wide.withColumn("logit", F.when(pad, zeroth).otherwise(own)).filter((F.col("logit") > F.col("_cut")) & (~pad if padding == "mask" else F.lit(True)))
+    step = backend.slot_step
+    top = F.when(F.col("_cut") == -math.inf, F.col("slots")).otherwise(F.least(F.col("slots"), F.ceil((F.col("logit") - F.col("_cut")) / step).cast("int"))) if step else F.col("slots")
+    slotted = good.withColumn("c_idx", F.explode(F.sequence(F.lit(0), top - 1)))
+    end = F.coalesce("l", "last")
     out = slotted.select(
-        "id", "c_idx", F.col("pos").alias("start"), "o.width_idx", (F.col("pos") + F.least(F.col("o.width_idx") + 1, n)).cast("int").alias("end"),
-        "o.label_idx", names[F.col("o.label_idx")].alias("label"), (F.col("o.logit") - slot_step * F.col("c_idx")).cast("int").alias("logit"),
-        "char_start", F.col("last.char_end").alias("char_end"), "byte_start", F.col("last.byte_end").alias("byte_end"),
-        "start_tok", F.col("last.end_tok").alias("end_tok"), "o.is_padding",
+        "id", "c_idx", F.col("pos").alias("start"), "width_idx", (F.col("pos") + F.least(k + 1, F.col("left"))).cast("int").alias("end"),
+        F.array(*[F.lit(t) for t, _, _ in table])[g].alias("task_idx"), F.array(*[F.lit(m) for _, m, _ in table])[g].alias("label_idx"), F.array(*[F.lit(x) for x in names])[g].alias("label"),
+        (F.col("logit") - step * F.col("c_idx")).cast("int").alias("logit"), "char_start", end["char_end"].alias("char_end"), "byte_start", end["byte_end"].alias("byte_end"),
+        "start_tok", end["end_tok"].alias("end_tok"), F.substring(F.col("run"), F.lit(1), (end["char_end"] - F.col("char_start")).cast("int")).alias("text"), pad.alias("is_padding"), "_cut", *keep,
     )
-    return out.filter(F.col("logit") > F.lit(cut)).withColumn("score", F.round(sigmoid(F.col("logit")), 6))
+    return out.filter(F.col("logit") > F.col("_cut")).drop("_cut").withColumn("score", F.round(sigmoid(F.col("logit")), 6))

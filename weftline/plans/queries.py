@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.functions.words import split_words as split
 from weftline.functions.words import word_table
 from weftline.operators import decode, joins, prompt, spans
 from weftline.plans import sql
@@ -18,6 +19,7 @@ TASK = entity_task(*NER)
 RELATION = relations("works_with", "head", "tail")
 TOPIC = classifications("topic", "finance", "legal", "news", "health", "logistics", "energy", "culture")
 THRESHOLD = 0.9
+_BACKEND = ExtractionEngine().backend
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -49,20 +51,19 @@ _DOCS = "WITH " + sql.words("documents", "doc_id")
 # -- words ------------------------------------------------------------------------------------------
 @query(_SENT + " SELECT id, pos, word FROM w")
 def split_words(spark: SparkSession, sf: str) -> DataFrame:
-    return word_table(_t(spark, sf, "test_sentences"), "sent_id", "text").select("id", "pos", "word")
+    t = _t(spark, sf, "test_sentences").filter("text is not null")
+    return t.select(F.col("sent_id").alias("id"), F.posexplode(split(F.col("text"))).alias("pos", "word"))  # no exchange
 
 
 @query(_DOCS + " SELECT id, pos, char_start, char_end, byte_start, byte_end FROM w")
 def split_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return word_table(_t(spark, sf, "documents"), "doc_id", "text").drop("word")
+    return word_table(_t(spark, sf, "documents"), "doc_id", "text").drop("word", "spaced")
 
 
 @query(
     f"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '(?i){sql.re2_word()}')) AS INT) AS n_words FROM documents WHERE text IS NOT NULL"
 )
 def word_count(spark: SparkSession, sf: str) -> DataFrame:
-    from weftline.functions.words import split_words as split
-
     return _t(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.size(split(F.col("text"))).alias("n_words"))
 
 
@@ -147,13 +148,14 @@ def vector_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("vec_id").agg(F.min_by("q_id", F.struct(-F.col("dot"), "q_id")).alias("q_id"), F.max("dot").alias("dot"))
 
 
-@query(f"""{_SENT}, u AS (SELECT id, least(sum(CAST(regexp_matches(word, '^\\p{{Lu}}') AS INT)), 3) AS n FROM w GROUP BY id)
+@query(f"""{_SENT}, u AS (SELECT id, least(sum(CAST(regexp_matches(word, '^\\p{{Lu}}') AS INT)), 20) AS n FROM w GROUP BY id)
 SELECT id, CAST(n AS INT) AS pred_count FROM u""")
 def count_argmax(spark: SparkSession, sf: str) -> DataFrame:
     """The predicted count: first maximum of count logits -|c - seen|."""
     w = word_table(_t(spark, sf, "test_sentences"), "sent_id", "text")
-    seen = F.least(F.sum(F.col("word").rlike(r"^\p{Lu}").cast("int")), F.lit(3))
-    logits = F.array(*[-F.abs(F.col("seen") - c) for c in range(4)])
+    backend = ExtractionEngine().backend
+    seen = F.least(F.sum(backend.counted(F.col("word"))), F.lit(backend.count_slots))
+    logits = F.array(*[-F.abs(F.col("seen") - c) for c in range(backend.count_slots + 1)])
     return w.groupBy("id").agg(seen.alias("seen")).select("id", decode.argmax_first(logits).alias("pred_count"))
 
 
@@ -231,19 +233,22 @@ def relations_v2(spark: SparkSession, sf: str) -> DataFrame:
     return _relations(spark, sf, "v2")
 
 
-def _classify_sql(last_wins: bool) -> str:
-    from weftline.backends.lexical import LexicalBackend
-
-    s = LexicalBackend().sql_scores("word", TOPIC.labels, 0)
-    names = "[" + ", ".join(f"'{x}'" for x in TOPIC.labels) + "]"
-    sums = "[" + ", ".join(f"CAST(sum(s[{m + 1}]) AS DOUBLE) / count(*)" for m in range(len(TOPIC.labels))) + "]"
+def _class_ctes(task, last_wins: bool, p: str) -> str:
+    """CTE ``p``o: id, label, score of a classification task over w."""
+    s = _BACKEND.sql_scores("word", task.labels, 0)
+    names = "[" + ", ".join(f"'{x}'" for x in task.labels) + "]"
+    sums = "[" + ", ".join(f"CAST(sum(s[{m + 1}]) AS DOUBLE) / count(*)" for m in range(len(task.labels))) + "]"
     gate = "HAVING sum(CAST(regexp_matches(word, '^\\p{Lu}') AS INT)) > 0" if last_wins else ""
     tie = "DESC" if last_wins else "ASC"
-    return f"""{_SENT}, f AS (SELECT id, word, {s} AS s FROM w), l AS (SELECT id, {sums} AS l FROM f GROUP BY id {gate}),
-x AS (SELECT id, unnest(l) AS logit, unnest(range(len(l))) AS m, list_max(l) AS top FROM l),
-z AS (SELECT id, sum(exp(logit - top)) AS z FROM x GROUP BY id),
-b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY logit DESC, m {tie}) AS r FROM x)
-SELECT b.id, {names}[m + 1] AS label, round(exp(logit - top) / z, 6) AS score, 'topic' AS task_name FROM b JOIN z ON b.id = z.id WHERE r = 1"""
+    return f"""{p}f AS (SELECT id, word, {s} AS s FROM w), {p}l AS (SELECT id, {sums} AS l FROM {p}f GROUP BY id {gate}),
+{p}x AS (SELECT id, unnest(l) AS logit, unnest(range(len(l))) AS m, list_max(l) AS top FROM {p}l),
+{p}z AS (SELECT id, sum(exp(logit - top)) AS z FROM {p}x GROUP BY id),
+{p}b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY logit DESC, m {tie}) AS r FROM {p}x),
+{p}o AS (SELECT b.id, {names}[m + 1] AS label, round(exp(logit - top) / z, 6) AS score FROM {p}b b JOIN {p}z z ON b.id = z.id WHERE r = 1)"""
+
+
+def _classify_sql(last_wins: bool) -> str:
+    return f"{_SENT}, {_class_ctes(TOPIC, last_wins, 'y_')} SELECT id, label, score, 'topic' AS task_name FROM y_o"
 
 
 def _classify(spark: SparkSession, sf: str, semantics: str) -> DataFrame:
@@ -261,14 +266,39 @@ def classify_v2_gated(spark: SparkSession, sf: str) -> DataFrame:
     return _classify(spark, sf, "v2")
 
 
-@query()
+MULTI = (entity_task("person", "organization", "location", "date", "phone number", "email", "tax id"), RELATION, TOPIC, entity_task("product", "event", "organization"))
+
+
+def _multitask_sql(tasks, threshold: float) -> str:
+    size = _prompt_size(*tasks)
+    parts, ctes = [], [sql.words("test_sentences", "sent_id"), sql.subwords(size)]
+    for i, t in enumerate(tasks):
+        if t.kind == "classifications":
+            ctes.append(_class_ctes(t, True, f"t{i}_"))
+            parts.append(f"SELECT id, {i} AS task_idx, 'class' AS kind, label, CAST(NULL AS VARCHAR) AS text, score FROM t{i}_o")
+            continue
+        p = f"t{i}_"
+        ctes += [sql.candidates(t.labels, threshold, prefix=p), sql.nms(f"{p}c", ["id"], "false", decode.ORDER, _FIELDS, f"{p}k")]
+        ctes.append(f"""{p}n AS (SELECT k.id, rank, u.label AS label, u.score AS score,
+  trim(substr(t.text, CAST(u.char_start AS INT) + 1, CAST(u.char_end - u.char_start AS INT))) AS text FROM {p}k k JOIN test_sentences t ON t.sent_id = k.id)""")
+        if t.kind == "entities":
+            parts.append(f"SELECT id, {i} AS task_idx, 'entity' AS kind, label, text, score FROM {p}n")
+        else:
+            ctes.append(f"""{p}p AS (SELECT id, arg_min(text, rank) FILTER (label = 'head') AS h, arg_min(score, rank) FILTER (label = 'head') AS s, arg_min(text, rank) FILTER (label = 'tail') AS t FROM {p}n GROUP BY id)""")
+            parts.append(f"SELECT id, {i} AS task_idx, 'relation' AS kind, '{t.labels[0]}' AS label, h || ' -> ' || t AS text, s AS score FROM {p}p WHERE h IS NOT NULL AND t IS NOT NULL")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
+
+
+@query(_multitask_sql(MULTI, THRESHOLD))
 def extract_multitask(spark: SparkSession, sf: str) -> DataFrame:
-    """All tasks of the task table in one pass; a row per result with its kind."""
-    out = ExtractionEngine().extract(_t(spark, sf, "test_sentences"), from_table(_t(spark, sf, "extraction_task")), "sent_id", "text", THRESHOLD)
-    e = out.entities.select("id", "task_idx", F.lit("entity").alias("kind"), "label", "text", "score")
-    r = out.relations.select("id", "task_idx", F.lit("relation").alias("kind"), F.col("relation_type").alias("label"), F.concat_ws(" -> ", "head.text", "tail.text").alias("text"), F.col("head.score").alias("score"))
-    c = out.classifications.select("id", "task_idx", F.lit("class").alias("kind"), "label", F.lit(None).cast("string").alias("text"), "score")
-    return e.unionByName(r).unionByName(c)
+    """Two entity tasks, a relation and a classification in one pass; a row per result with its kind."""
+    return ExtractionEngine().extract(_t(spark, sf, "test_sentences"), MULTI, "sent_id", "text", THRESHOLD).results
+
+
+@query()
+def extract_task_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All tasks of the task table in one pass."""
+    return ExtractionEngine().extract(_t(spark, sf, "test_sentences"), from_table(_t(spark, sf, "extraction_task")), "sent_id", "text", THRESHOLD).results
 
 
 # -- operators over stored results ------------------------------------------------------------------

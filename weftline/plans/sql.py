@@ -36,25 +36,26 @@ wt AS (SELECT *, end_tok - {n} AS start_tok FROM
   (SELECT *, CAST(sum({n}) OVER (PARTITION BY id ORDER BY pos) + 1 + {prompt_size} AS BIGINT) AS end_tok FROM w))"""
 
 
-def candidates(labels: Sequence[str], threshold: float, max_width: int = 8, masked: bool = False, step: int = 2) -> str:
-    """CTE c: candidates above the threshold."""
+def candidates(labels: Sequence[str], threshold: float, max_width: int = 8, masked: bool = False, step: int = 2, prefix: str = "") -> str:
+    """CTE ``prefix``c: candidates above the threshold."""
     s, e = _BACKEND.sql_scores("word", labels, 0), _BACKEND.sql_scores("word", labels, 1)
     names = "[" + ", ".join(f"'{x}'" for x in labels) + "]"
     cut = logit_of(threshold)
     mask = "AND NOT pad" if masked else ""
+    p = prefix
     return f"""
-f AS (SELECT *, {s} AS s, {e} AS e, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS q,
-  count(*) OVER (PARTITION BY id) AS n, least(sum(CAST(regexp_matches(word, '^\\p{{Lu}}') AS INT)) OVER (PARTITION BY id), 3) AS slots FROM wt),
-z AS (SELECT id, s AS zs, e AS ze FROM f WHERE pos = 0),
-g AS (SELECT f.id, f.pos, f.char_start, f.byte_start, f.start_tok, f.s, f.n, f.slots, z.zs, z.ze, k.k, f.pos + k.k >= f.n AS pad, least(f.pos + k.k + 1, f.n) AS fin
-  FROM f JOIN z ON f.id = z.id, (SELECT unnest(range({max_width})) AS k) k),
-h AS (SELECT g.*, b.e, b.char_end, b.byte_end, b.end_tok FROM g JOIN f b ON g.id = b.id AND b.pos = g.fin - 1),
-o AS (SELECT h.*, m.m, CASE WHEN pad THEN zs[m.m + 1] + ze[m.m + 1] + 0 ELSE s[m.m + 1] + e[m.m + 1] + 1 - abs(k - 1) END AS l0
-  FROM h, (SELECT unnest(range({len(labels)})) AS m) m),
-c AS (SELECT id, CAST(ci AS INT) AS c_idx, pos AS start, CAST(k AS INT) AS width_idx, CAST(fin AS INT) AS "end", CAST(m AS INT) AS label_idx, {names}[m + 1] AS label,
+{p}f AS (SELECT *, {s} AS s, {e} AS e, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS q,
+  count(*) OVER (PARTITION BY id) AS n, least(sum(CAST(regexp_matches(word, '^\\p{{Lu}}') AS INT)) OVER (PARTITION BY id), 20) AS slots FROM wt),
+{p}z AS (SELECT id, s AS zs, e AS ze FROM {p}f WHERE pos = 0),
+{p}g AS (SELECT f.id, f.pos, f.char_start, f.byte_start, f.start_tok, f.s, f.n, f.slots, z.zs, z.ze, k.k, f.pos + k.k >= f.n AS pad, least(f.pos + k.k + 1, f.n) AS fin
+  FROM {p}f f JOIN {p}z z ON f.id = z.id, (SELECT unnest(range({max_width})) AS k) k),
+{p}h AS (SELECT g.*, b.e, b.char_end, b.byte_end, b.end_tok FROM {p}g g JOIN {p}f b ON g.id = b.id AND b.pos = g.fin - 1),
+{p}o AS (SELECT h.*, m.m, CASE WHEN pad THEN zs[m.m + 1] + ze[m.m + 1] + 0 ELSE s[m.m + 1] + e[m.m + 1] + 1 - abs(k - 1) END AS l0
+  FROM {p}h h, (SELECT unnest(range({len(labels)})) AS m) m),
+{p}c AS (SELECT id, CAST(ci AS INT) AS c_idx, pos AS start, CAST(k AS INT) AS width_idx, CAST(fin AS INT) AS "end", CAST(m AS INT) AS label_idx, {names}[m + 1] AS label,
   CAST(l0 - {step} * ci AS INT) AS logit, char_start, char_end, byte_start, byte_end, start_tok, end_tok, pad AS is_padding,
   round(1.0 / (1.0 + exp(-(l0 - {step} * ci))), 6) AS score
-  FROM (SELECT *, unnest(range(CAST(slots AS BIGINT))) AS ci FROM o WHERE l0 > {cut} {mask}) WHERE l0 - {step} * ci > {cut})"""
+  FROM (SELECT *, unnest(range(CAST(slots AS BIGINT))) AS ci FROM {p}o WHERE l0 > {cut} {mask}) WHERE l0 - {step} * ci > {cut})"""
 
 
 def nms(source: str, group: Sequence[str], flat: str, order: Sequence[str], fields: Sequence[str], name: str = "k") -> str:
