@@ -111,6 +111,27 @@ def test_asof_with_keys(spark):
     assert got == {("x", 5): "q", ("x", 1): None, ("y", 9): None, (None, 3): None}
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_asof_in_ranges_equals_brute_force(spark, keyed):
+    rng = random.Random(5)
+    left = [(rng.choice("xxxxy"), rng.choice([17, 17, 17, rng.randrange(200)]), k) for k in range(500)] + [("x", None, 500), (None, 9, 501)]
+    right = [(rng.choice("xyz"), rng.randrange(5, 200), rng.randrange(99)) for _ in range(120)] + [("x", None, 1), (None, 8, 7)]
+    if not keyed:
+        left, right = [r for r in left if r[0]], [r for r in right if r[0]]
+    a, b = spark.createDataFrame(left, "k string, t int, id int"), spark.createDataFrame(right, "k string, u int, v int")
+
+    def true(k, t):
+        seen = [(u, v) for x, u, v in right if u is not None and t is not None and u <= t and (not keyed or (x == k and k is not None))]
+        return max(seen)[1] if seen else None
+
+    many = joins.asof(a, b, "t", "u", ["v"], by=["k"] if keyed else (), most_broadcast=0, target=20)
+    assert {r["id"]: r["v"] for r in many.collect()} == {i: true(k, t) for k, t, i in left}
+    assert many.columns == ["k", "t", "id", "v"]
+    if not keyed:
+        assert {r["id"]: r["v"] for r in joins.asof(a, b, "t", "u", ["v"]).collect()} == {i: true(k, t) for k, t, i in left}
+        assert spark.createDataFrame(left, "k string, t int, id int").count() == many.count()
+
+
 def test_graph_fragments_with_a_stand_in():
     import numpy as np
 

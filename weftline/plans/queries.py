@@ -353,6 +353,16 @@ def asof_run(spark: SparkSession, sf: str) -> DataFrame:
     return joins.asof(e, r, "loaded_at", "started_at", ["last_run"])
 
 
+@query("""SELECT e.entity_id, e.sent_id, e.loaded_at, c.label AS last_class FROM extracted_entity e ASOF LEFT JOIN
+(SELECT c.sent_id, s.ingested_at, max(c.label) AS label FROM classification_result c JOIN test_sentences s ON c.sent_id = s.sent_id GROUP BY ALL) c
+ON e.sent_id = c.sent_id AND e.loaded_at >= c.ingested_at""")
+def asof_class(spark: SparkSession, sf: str) -> DataFrame:
+    """The class that each mention's own text had when the mention was loaded."""
+    e = _t(spark, sf, "extracted_entity").select("entity_id", "sent_id", "loaded_at")
+    c = _t(spark, sf, "classification_result").select("sent_id", F.col("label").alias("last_class")).join(_t(spark, sf, "test_sentences").select("sent_id", "ingested_at"), "sent_id")
+    return joins.asof(e, c, "loaded_at", "ingested_at", ["last_class"], by=["sent_id"])
+
+
 @query("""SELECT s.source, e.label, count(*) AS n, count(DISTINCT e.text) AS n_texts, CAST(grouping(s.source) * 2 + grouping(e.label) AS BIGINT) AS level
 FROM extracted_entity e JOIN test_sentences s ON e.sent_id = s.sent_id GROUP BY ROLLUP (s.source, e.label)""")
 def label_rollup(spark: SparkSession, sf: str) -> DataFrame:
