@@ -278,6 +278,34 @@ def test_segments_cover_languages(mixed):
     assert main[54]["language"] is None and main[54]["confidence"] == 0 and 0.5 < main[0]["confidence"] <= 1 and 51 not in main
 
 
+def test_texts_and_units_agree(mixed):
+    a = {r["sent_id"]: (r["found"], round(r["confidence"], 6)) for r in language.classify_texts(mixed, {"sent_id": F.col("sent_id"), "form": F.col("form")}).collect()}
+    b = {r["sent_id"]: (r["language"], round(r["confidence"], 6)) for r in language.text_languages(language.classify_units(mixed)).collect()}
+    assert set(a) == {r["sent_id"] for r in mixed.collect()} and {k: v for k, v in a.items() if k in b} == b
+    assert all(v == (None, 0.0) for k, v in a.items() if k not in b)
+
+
+@pytest.mark.parametrize("rows", [[("Nobody told Anna.", "en")], [("Nobody told Anna.", "en"), ("We have been waiting.", "en")], [("Nobody told Anna", None)], [("...", "en"), ("?", "de")], [("12", "12"), (".", "x")]])
+def test_tiny_tables(spark, rows):
+    d = table(spark, rows)
+    assert sentences.split_sentences(d).count() == len(rows)
+    assert sum(r["n_texts"] for r in budget.token_budget(d).collect()) == len(rows)
+    assert {r["language"] for r in language.mislabelled(d).collect()} <= {"en"}
+
+
+def test_labels_without_support_are_no_languages(spark):
+    d = table(spark, [(EN[0], "en")] * 40 + [(EN[0], "abc")] * 5 + [(EN[0], "qz")] * 5)
+    assert {r["found"] for r in language.classify_texts(d, {"sent_id": F.col("sent_id")}).collect()} == {"en"}
+    assert {r["sent_id"] for r in language.mislabelled(d).collect()} == set(range(40, 50))
+
+
+def test_ordinals_do_not_end_sentences(spark):
+    base = ["Wir warten seit dem 27. März auf die Autobahn. Niemand sagte es ihm.", "Am 12. Mai traf er die Mitarbeiter. Die Aktie stieg um 3 Prozent.", "Es gilt ab dem 3. Juni nach Vereinbarung. Wir warten seit 1999."]
+    d = table(spark, [(t, "de") for t in base * 200] + [("Er zahlte 27.", "de")] * 3)
+    got = {tuple(r) for r in sentences.split_sentences(d).filter("sent_id = 0").collect()}
+    assert len(got) == 2
+
+
 def test_empty_tables(mixed):
     e = mixed.limit(0)
     assert language.mislabelled(e).count() == 0 and sentences.split_sentences(e).count() == 0 and budget.token_budget(e).count() == 0

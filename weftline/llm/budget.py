@@ -2,7 +2,7 @@
 
 Texts are split into pieces by the tokenizer's pattern inside the JVM and counted per slice before
 anything is shuffled by piece, so the shuffled data grows with the vocabulary, not with the corpus.
-Distinct pieces are partitioned by their first characters and sorted, which makes each partition a
+Distinct pieces are partitioned into ranges of their order and sorted, which makes each partition a
 prefix trie in depth-first order: neighbours share prefixes. Walking it, the exact tokenization state
 (last token and number of tokens of every prefix) is kept on a stack and only the part beyond the
 shared prefix is computed. Terminal counts are joined back to slices or documents.
@@ -84,8 +84,11 @@ class TrieWalk:
         return 1 if s in rank else count[len(s)]
 
 
-def piece_tokens(pieces: DataFrame, vocabulary: str | None = None, prefix: int = 3) -> DataFrame:
-    """(piece, n_tokens) of distinct ``piece`` strings by partitioned prefix tries."""
+def piece_tokens(pieces: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(piece, n_tokens) of distinct ``piece`` strings by prefix tries, one for each range of pieces in their order.
+
+    Ranges are cut by number, so a prefix that many pieces share is cut as well.
+    """
     path = vocabulary or default_vocabulary()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +96,8 @@ def piece_tokens(pieces: DataFrame, vocabulary: str | None = None, prefix: int =
         for b in batches:
             yield pd.DataFrame({"piece": b["piece"], "n_tokens": [w.tokens(p.encode()) for p in b["piece"]]})
 
-    spread = pieces.select("piece").repartition(F.substring("piece", 1, prefix)).sortWithinPartitions("piece")
+    ranges = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.sparkSession.sparkContext.defaultParallelism)
+    spread = pieces.select("piece").repartitionByRange(ranges, "piece").sortWithinPartitions("piece")
     return spread.mapInPandas(walk, "piece string, n_tokens bigint")
 
 
@@ -103,8 +107,8 @@ def _exploded(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
 def slice_tokens(df: DataFrame, by: list[str], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``by``, n_texts, n_tokens: totals of every combination of ``by`` (nulls are a value of their own)."""
-    counted = _exploded(df, by, text_col).groupBy(*by, "piece").agg(F.count("*").alias("n"))
-    counts = piece_tokens(counted.select("piece").distinct(), vocabulary)
+    counted = written(_exploded(df, by, text_col).groupBy(*by, "piece").agg(F.count("*").alias("n")), "pieces")
+    counts = piece_tokens(written(counted.select("piece").distinct(), "distinct"), vocabulary)
     totals = counted.join(counts, "piece").groupBy(*by).agg(F.sum(F.col("n") * F.col("n_tokens")).alias("n_tokens"))
     texts = df.groupBy(*by).agg(F.count("*").alias("n_texts"))
     same = [texts[b].eqNullSafe(totals[b]) for b in by]
@@ -121,7 +125,7 @@ def document_tokens(df: DataFrame, id_col: str, text_col: str = "text", vocabula
     salt = 16
     pieces = _exploded(df, [id_col], text_col).groupBy(id_col, "piece").agg(F.count("*").alias("n"))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salt)).cast("int"))
-    counts = piece_tokens(_exploded(df, [], text_col).distinct(), vocabulary)
+    counts = piece_tokens(written(_exploded(df, [], text_col).distinct(), "distinct"), vocabulary)
     counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     sums = pieces.join(counts, ["piece", "salt"]).groupBy(id_col).agg(F.sum(F.col("n") * F.col("n_tokens")).alias("n_tokens"))
     every = df.select(id_col)
@@ -133,15 +137,11 @@ def token_budget(
     label_col: str = "language", domain_col: str = "domain", vocabulary: str | None = None,
 ) -> DataFrame:
     """source, language, domain, n_texts, n_tokens. The label counts where it fits the text, else the language found."""
-    units = written(language.classify_units(df, id_col, text_col, label_col).select(id_col, "char_start", "char_end", "language", "confidence"), "units")
-    found = language.text_languages(units.filter("language is not null"), id_col).select(F.col(id_col).alias("_id"), F.col("language").alias("_found"))
-    written_in = units.filter("language is not null").groupBy(id_col).agg(F.collect_set("language").alias("_all")).select(F.col(id_col).alias("_id"), "_all")
-    rows = df.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("source"), language.label_code(F.col(label_col)).alias("_label"),
-        F.when(F.trim(domain_col) == "", None).otherwise(F.col(domain_col)).alias("_domain"),
-    )
-    d = rows.join(found, "_id", "left").join(written_in, "_id", "left")
-    fits = F.array_contains("_all", F.coalesce("_label", F.lit("")))
-    code = F.coalesce(F.when(fits, F.col("_label")), F.col("_found"), F.col("_label"), F.lit("und"))
-    d = d.select("source", code.alias("language"), F.coalesce("_domain", F.lit("unknown")).alias("domain"), F.col("_text").alias("text"))
+    keep = {
+        "source": F.col(source_col), "_label": language.label_code(F.col(label_col)), "domain": F.coalesce(F.when(F.trim(domain_col) != "", F.col(domain_col)), F.lit("unknown")), "text": F.col(text_col),
+    }
+    rows = language.classify_texts(df, keep, id_col, text_col, label_col)
+    fits = F.array_contains("languages", F.coalesce("_label", F.lit("")))
+    code = F.coalesce(F.when(fits, F.col("_label")), F.col("found"), F.col("_label"), F.lit("und"))
+    d = written(rows.select("source", code.alias("language"), "domain", "text"), "labelled")
     return slice_tokens(d, ["source", "language", "domain"], "text", vocabulary)

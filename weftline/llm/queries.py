@@ -23,7 +23,8 @@ def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The main language of every text."""
-    return language.text_languages(language.classify_units(_t(spark, sf, "test_sentences")))
+    rows = language.classify_texts(_t(spark, sf, "test_sentences"), {"sent_id": F.col("sent_id")})
+    return rows.select("sent_id", F.col("found").alias("language"), "confidence")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

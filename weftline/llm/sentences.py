@@ -28,8 +28,10 @@ from __future__ import annotations
 import json
 import math
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -40,23 +42,25 @@ from pyspark.sql import functions as F
 from weftline.llm.names import comparison_form
 from weftline.session import written
 
-_TOKEN = regex.compile(
-    r"""
-    (?P<addr> (?:\p{Cf}?[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}._%+\-])+\p{Cf}?@(?:[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}\p{Cf}\-])+(?:\.[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}\p{Cf}\-]+)+
+_ADDRESS = r"""(?P<addr> (?:\p{Cf}?[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}._%+\-])+\p{Cf}?@(?:[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}\p{Cf}\-])+(?:\.[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}\p{Cf}\-]+)+
       | (?:https?://|[wｗ]\p{Cf}?w\p{Cf}?w\p{Cf}?\.)[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}\p{Cf}_./\-]*[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}_/] )
-  | (?P<dots> (?:[\p{Latin}\p{Greek}\p{Cyrillic}]\p{M}*\.){2,} )
+  |"""
+_OTHERS = r"""(?P<dots> (?:[\p{Latin}\p{Greek}\p{Cyrillic}]\p{M}*\.){2,} )
   | (?P<num> \p{Nd}+(?:[.,:/]\p{Nd}+)* )
   | (?P<thai> [\p{Thai}\p{Cf}]+ )
   | (?P<cjk> [\p{Han}\p{Hiragana}\p{Katakana}ー々]+ )
   | (?P<word> (?:[[\p{L}\p{M}\p{Cf}_]--[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]])+ (?:['’\-](?:[[\p{L}\p{M}\p{Cf}]--[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]])+)* )
   | (?P<end> \.{2,} | …+ | [!?]+ | [。।॥؟]+ | \. )
   | (?P<sign> \S )
-    """,
-    regex.X | regex.V1,
-)
+"""
+_TOKEN = regex.compile(_ADDRESS + _OTHERS, regex.X | regex.V1)
+#: The same for texts that cannot hold an address.
+_TOKEN_PLAIN = regex.compile(_OTHERS, regex.X | regex.V1)
+_MAY_ADDRESS = regex.compile(r"@|://|[wｗ]\p{Cf}?w\p{Cf}?w")
 _BREAK = regex.compile(r"[\n\r\x0b\x0c\x85  ]")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "‹": "›", "〈": "〉", "《": "》", "【": "】"}
 _CLOSERS = set(_PAIRS.values()) - {"“"}
+_MARKS = {'"', *_PAIRS, *_PAIRS.values()}
 _DASHES = "—–"
 _WIDE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: " " for c in (0xA0, 0x2007, 0x202F, 0x3000, *range(0x2000, 0x200B))} | {0x37E: ";"}
 S, PLAIN = "<s>", "<w>"
@@ -66,6 +70,8 @@ KEY_SHARE = 2e-7
 EVIDENCE = 100
 #: Ends of texts and lines after a context, as a share of its full stops, that pass for accidents.
 ACCIDENT = 0.005
+#: The same for contexts of full stops, relative to the share of the longer words: for short words and for numbers of one or two digits.
+RARELY, RARELY_NUMBER = 0.03, 0.1
 #: Keys a task counts before it hands them on; steps of a fixed-point count.
 HELD, STEPS = 200_000, 1 << 20
 
@@ -76,14 +82,14 @@ class Tokens:
     __slots__ = ("span", "kind", "raw", "gap", "fixed", "shut", "quoted")
 
     def __init__(self, text: str):
-        flat = text.translate(_WIDE)
-        self.span, self.kind, self.raw = [], [], []
-        for m in _TOKEN.finditer(flat):
-            self.span.append(m.span())
-            self.kind.append(m.lastgroup)
-            self.raw.append(m.group())
+        flat = text if text.isascii() else text.translate(_WIDE)
+        found = [(m.span(), m.lastgroup) for m in (_TOKEN if _MAY_ADDRESS.search(flat) else _TOKEN_PLAIN).finditer(flat)]
+        self.span, self.kind = [s for s, _ in found], [k for _, k in found]
+        self.raw = [flat[a:b] for a, b in self.span]
+        self.gap = [flat[a[1] : b[0]] for a, b in pairwise(self.span)]
         n = len(self.span)
-        self.gap = [flat[self.span[i][1] : self.span[i + 1][0]] if i + 1 < n else "\n" for i in range(n)]
+        if n:
+            self.gap.append("\n")
         self.fixed: list[int | None] = [None] * n
         self.shut: dict[int, bool] = {}
         self.quoted: set[int] = set()
@@ -92,12 +98,12 @@ class Tokens:
     def _evidence(self) -> None:
         n, raw, kind = len(self.raw), self.raw, self.kind
         inside = [0] * (n + 1)
+        breaks = [g != " " and g != "" and _BREAK.search(g) is not None for g in self.gap]
         start = 0
-        for end in range(n):
-            if end + 1 < n and not _BREAK.search(self.gap[end]):
-                continue
+        marks = [i for i, k in enumerate(kind) if k == "sign" and (raw[i] in _MARKS)]
+        for end in [*[i for i in range(n - 1) if breaks[i]], n - 1] if marks else ():
             stack: list[tuple[int, str]] = []
-            for i in range(start, end + 1):
+            for i in marks[bisect_left(marks, start) : bisect_left(marks, end + 1)]:
                 c = raw[i]
                 if stack and c == stack[-1][1]:
                     o = stack.pop()[0]
@@ -112,7 +118,7 @@ class Tokens:
             start = end + 1
         for i in range(n - 1):
             gap, nxt = self.gap[i], raw[i + 1]
-            if _BREAK.search(gap):
+            if breaks[i]:
                 self.fixed[i] = 1
             elif inside[i] or nxt in _CLOSERS or (kind[i + 1] == "end" and not gap):
                 self.fixed[i] = 0
@@ -128,12 +134,14 @@ class Tokens:
         if n:
             self.fixed[n - 1] = 1
 
-    def has_language(self) -> bool:
-        """Whether any word is left beside numbers, codes and addresses."""
-        for i, k in enumerate(self.kind):
+    def has_language(self, start: int = 0, end: int | None = None) -> bool:
+        """Whether any word is left beside numbers, codes and addresses, from token ``start`` to ``end``."""
+        end = len(self.kind) if end is None else end
+        for i in range(start, end):
+            k = self.kind[i]
             if k in ("thai", "cjk"):
                 return True
-            if k == "word" and len(self.raw[i]) > 1 and not (i + 1 < len(self.kind) and self.kind[i + 1] == "num" and not self.gap[i]):
+            if k == "word" and len(self.raw[i]) > 1 and not (i + 1 < end and self.kind[i + 1] == "num" and not self.gap[i]):
                 if any(c.islower() or unicodedata.category(c) == "Lo" for c in self.raw[i]):
                     return True
         return False
@@ -221,6 +229,7 @@ class HiddenEventModel:
         self.sums = [{k: (sum(v.values()), len(v)) for k, v in level.items()} for level in self.word]
         self.start_sum, self.start_types = sum(self.start.values()), len(self.start)
         self.base = max(1000, len(self.lexicon))
+        self.seen: dict[tuple[str, str, str], tuple[float, float]] = {}
 
     def p_event(self, a: str, b: str) -> float:
         """Probability of a boundary after tokens a, b."""
@@ -244,7 +253,18 @@ class HiddenEventModel:
         return p * (self.word[3][kind].get(c, 0.0) + types / self.base) / (n + types) if n else p / self.base
 
     def p_start(self, c: str) -> float:
-        return (self.start.get(c, 0.0) + self.start_types / self.base) / (self.start_sum + self.start_types)
+        types = self.start_types or 1  # no start seen: all are alike
+        return (self.start.get(c, 0.0) + types / self.base) / (self.start_sum + types)
+
+    def emission(self, a: str, b: str, c: str) -> tuple[float, float]:
+        """Probabilities that after a, b the sentence goes on with c, and that it ends and the next starts with c."""
+        key = (a, b, c)
+        if (got := self.seen.get(key)) is None:
+            if len(self.seen) > 1_000_000:
+                self.seen.clear()
+            p = self.p_event(a, b)
+            got = self.seen[key] = ((1 - p) * self.p_next(a, b, c), p * self.p_start(c))
+        return got
 
     def posteriors(self, hist: list[str], nxt: list[str], fixed: list[int | None]) -> list[float]:
         """Posterior of a boundary in each gap by forward-backward over the two states of every gap."""
@@ -252,56 +272,62 @@ class HiddenEventModel:
         if not n:
             return []
         emit = []
+        emission = self.emission
+        last = n - 1
         for i in range(n):
-            f = fixed[i]
+            f, b = fixed[i], hist[i]
+            a = hist[i - 1] if i else S
+            if f is None and i < last:
+                c = nxt[i + 1]
+                ends = emission(S, b, c)
+                emit.append((emission(a, b, c) if i else ends, ends))
+                continue
             row = []
-            for before in (0, 1):
-                a = S if before or i == 0 else hist[i - 1]
-                p = self.p_event(a, hist[i]) if f is None else float(f)
-                if i + 1 < n:
-                    row.append((0.0 if p == 0.0 and f == 1 else (1 - p) * self.p_next(a, hist[i], nxt[i + 1]), p * self.p_start(nxt[i + 1])))
+            for x in (a, S):
+                p = self.p_event(x, b) if f is None else float(f)
+                if i < last:
+                    row.append((0.0 if p == 0.0 and f == 1 else (1 - p) * self.p_next(x, b, nxt[i + 1]), p * self.p_start(nxt[i + 1])))
                 else:
                     row.append((1 - p, p))
             emit.append(row)
-        alpha = [[0.0, 1.0]]
-        for i in range(n):
-            p0, p1 = alpha[-1]
-            x0 = p0 * emit[i][0][0] + p1 * emit[i][1][0]
-            x1 = p0 * emit[i][0][1] + p1 * emit[i][1][1]
+        alpha = [(0.0, 1.0)]
+        p0, p1 = 0.0, 1.0
+        for (a0, a1), (b0, b1) in emit:
+            x0, x1 = p0 * a0 + p1 * b0, p0 * a1 + p1 * b1
             z = x0 + x1 or 1.0
-            alpha.append([x0 / z, x1 / z])
+            p0, p1 = x0 / z, x1 / z
+            alpha.append((p0, p1))
         beta0 = beta1 = 1.0
         out = [0.0] * n
         for i in range(n - 1, -1, -1):
             a0, a1 = alpha[i + 1]
             z = a0 * beta0 + a1 * beta1 or 1.0
             out[i] = a1 * beta1 / z
-            e = emit[i]
-            b0, b1 = e[0][0] * beta0 + e[0][1] * beta1, e[1][0] * beta0 + e[1][1] * beta1
+            (e0, e1), (f0, f1) = emit[i]
+            b0, b1 = e0 * beta0 + e1 * beta1, f0 * beta0 + f1 * beta1
             z = b0 + b1 or 1.0
             beta0, beta1 = b0 / z, b1 / z
         return out
 
-    def count(self, hist: list[str], nxt: list[str], post: list[float | None], times: int = 1, skip: set[int] | tuple = ()) -> None:
-        """Add expected counts ``times`` times; gaps without a value and those in ``skip`` are not counted."""
-        before = 1.0
-        for i, y in enumerate(post):
-            a = S if i == 0 or before > 0.5 else hist[i - 1]
-            if y is not None and i not in skip:
-                for table, key in ((self.event[1], hist[i]), (self.event[0], (a, hist[i]))):
-                    cell = table[key]
-                    cell[0] += (1 - y) * times
-                    cell[1] += y * times
-                if i + 1 < len(hist):
-                    c = nxt[i + 1]
-                    if y > 0.001:
-                        self.start[c] += y * times
-                    if y < 0.999:
-                        kind = _shape(c)
-                        for level, key in ((2, ""), (1, hist[i]), (0, (a, hist[i]))):
-                            self.word[level][key][kind] += (1 - y) * times
-                        self.word[3][kind][c] += (1 - y) * times
-            before = y if y is not None else 0.0
+    def add(self, a: str, b: str, c: str | None, y: float, times: float = 1) -> None:
+        """Count a gap after tokens a, b and before c (None at the end of a text) that is a boundary with probability y."""
+        for table, key in ((self.event[1], b), (self.event[0], (a, b))):
+            cell = table[key]
+            cell[0] += (1 - y) * times
+            cell[1] += y * times
+        if c is not None:
+            if y > 0.001:
+                self.start[c] += y * times
+            if y < 0.999:
+                kind, n = _shape(c), (1 - y) * times
+                for level, key in ((2, ""), (1, b), (0, (a, b))):
+                    self.word[level][key][kind] += n
+                self.word[3][kind][c] += n
+
+    def count(self, hist: list[str], nxt: list[str], post: list[float | None], times: int = 1) -> None:
+        """Add expected counts ``times`` times; gaps without a value are not counted."""
+        for a, b, c, y in gaps(hist, nxt, post):
+            self.add(a, b, c, y, times)
 
     def rows(self) -> Iterator[tuple[str, str, str, float, float]]:
         """The counts as (table, key, value, count, boundaries among them)."""
@@ -345,6 +371,15 @@ class HiddenEventModel:
         return m
 
 
+def gaps(hist: list[str], nxt: list[str], post: list[float | None], skip: set[int] | tuple = ()) -> list[tuple]:
+    """(token before, token, next token or None, value) of the gaps that have a value and are not in ``skip``."""
+    last = len(hist) - 1
+    return [
+        (S if i == 0 or (post[i - 1] or 0.0) > 0.5 else hist[i - 1], hist[i], nxt[i + 1] if i < last else None, y)
+        for i, y in enumerate(post) if y is not None and i not in skip
+    ]
+
+
 def _word_counts(t: Tokens, counts: dict[str, list[int]]) -> None:
     """Of every word: how often it is seen; of short ones, with a full stop, without, with one that ends a text or line, with one after which it goes on."""
     for i, k in enumerate(t.kind):
@@ -381,9 +416,16 @@ def _stops(hist: list[str], t: Tokens) -> Iterator[tuple[str, bool]]:
             yield h if t.kind[i] == "dots" else hist[i - 1] if i else "", t.fixed[i] == 1
 
 
-def _never_ends(k: str, used: int, ends: int, short: set[str]) -> bool:
-    """Contexts that stand before a full stop but do not end lines or texts are no ends of sentences."""
-    return used >= 5 and ends <= ACCIDENT * used and k not in ("N4", "N3", "N:", "N.") and (len(k) <= 3 or k in short)
+def _never_ends(k: str, used: int, ends: int, short: set[str], usual: float) -> bool:
+    """Contexts that stand before a full stop but hardly ever end lines or texts, against a ``usual`` share, are no ends of sentences."""
+    if used < 5 or k in ("N4", "N3", "N:", "N.") or not (len(k) <= 3 or k in short):
+        return False
+    return ends <= (RARELY_NUMBER if k in ("N1", "N2") else RARELY) * usual * used
+
+
+def _is_usual(k: str) -> bool:
+    """Whether a context is a longer word, whose full stops end sentences."""
+    return len(k) > 3 and k[0] != "N" and "." not in k
 
 
 def _stop_share(dotted: int, plain: int) -> float:
@@ -405,7 +447,8 @@ def train(texts: list[str], rounds: int = 3, least: int = 6) -> HiddenEventModel
         for key, end in _stops(hist, t):
             used[key] += 1
             ends[key] += end
-    never = {k for k, n in used.items() if _never_ends(k, n, ends[k], model.short)}
+    usual = sum(ends[k] for k in used if _is_usual(k)) / max(1, sum(n for k, n in used.items() if _is_usual(k)))
+    never = {k for k, n in used.items() if _never_ends(k, n, ends[k], model.short, usual)}
     labels = [[_seed(hist, nxt, t, i, never) for i in range(len(hist))] for hist, nxt, t in coded]
     for (hist, nxt, _), y in zip(coded, labels, strict=True):
         model.count(hist, nxt, y)
@@ -456,24 +499,32 @@ def _seed(hist: list[str], nxt: list[str], t: Tokens, i: int, never: set[str]) -
     return 0.0
 
 
-def units(text: str, model: HiddenEventModel) -> list[tuple[int, int]]:
-    """Offsets of the sentence units of a text."""
-    t = Tokens(text)
+def unit_tokens(t: Tokens, model: HiddenEventModel) -> list[tuple[int, int]]:
+    """First and last token (exclusive) of the sentence units of a text."""
     if not t.span:
         return []
     if not t.has_language():
-        return [(t.span[0][0], t.span[-1][1])]
+        return [(0, len(t.span))]
     hist, nxt = model.classes(t)
     post = model.posteriors(hist, nxt, t.fixed)
-    out, start = [], t.span[0][0]
+    out, start = [], 0
     for i, p in enumerate(post):
         if p > 0.5 or i + 1 == len(post):
-            out.append((start, t.span[i][1]))
-            if i + 1 < len(post):
-                start = t.span[i + 1][0]
+            out.append((start, i + 1))
+            start = i + 1
     return out
 
 
+def units(text: str, model: HiddenEventModel) -> list[tuple[int, int]]:
+    """Offsets of the sentence units of a text."""
+    t = Tokens(text)
+    return [(t.span[i][0], t.span[j - 1][1]) for i, j in unit_tokens(t, model)]
+
+
+#: Kinds of tokens after which a gap that nothing else fixes is none, and all that is asked is whether it is quoted.
+_CERTAIN = ("word", "num", "addr", "thai", "cjk")
+
+
 class _Every:
     def __contains__(self, x: object) -> bool:
         return True
@@ -487,8 +538,8 @@ def _windows(hist: list[str], nxt: list[str], t: Tokens) -> tuple[list[float | N
     evidence, seed if its context may end a sentence, seed if not, that context, whether it counts.
     """
     n = len(hist)
-    a = [_seed(hist, nxt, t, i, ()) for i in range(n)]
-    b = [_seed(hist, nxt, t, i, _Every()) for i in range(n)]
+    a = [0.0 if f is None and k in _CERTAIN and hist[i] != ";?" and i not in t.shut else _seed(hist, nxt, t, i, ()) for i, (f, k) in enumerate(zip(t.fixed, t.kind, strict=True))]
+    b = [_seed(hist, nxt, t, i, _Every()) if k in ("end", "dots") else v for i, (v, k) in enumerate(zip(a, t.kind, strict=True))]
     doubt = [t.fixed[i] is None and not (a[i] == 0 and b[i] == 0 and t.kind[i] != "end") for i in range(n)]
     post = [None if i in t.quoted or doubt[i] else a[i] for i in range(n)]
     skip: set[int] = set()
@@ -574,9 +625,11 @@ def fit(df: DataFrame, text_col: str, rounds: int = 3, least: int = 6) -> Hidden
     def count_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Counts of the sure gaps; windows ("v"), full stops by context ("u") and tokens ("n") beside them."""
         own = HiddenEventModel(*lexicon.value)
-        seen, stops, tokens = Counter(), defaultdict(lambda: [0, 0]), 0
+        seen, sure, stops, tokens = Counter(), Counter(), defaultdict(lambda: [0, 0]), 0
 
         def frame() -> pd.DataFrame:
+            for gap, n in sure.items():
+                own.add(*gap, n)
             more = [("v", w, "", n, 0) for w, n in seen.items()] + [("u", k, "", n, e) for k, (n, e) in stops.items()]
             return _count_frame(own, [*more, ("n", "", "", tokens, 0)])
 
@@ -587,14 +640,15 @@ def fit(df: DataFrame, text_col: str, rounds: int = 3, least: int = 6) -> Hidden
                 hist, nxt = own.classes(t)
                 tokens += len(hist)
                 post, skip, windows = _windows(hist, nxt, t)
-                own.count(hist, nxt, post, skip=skip)
+                sure.update(gaps(hist, nxt, post, skip))
                 seen.update(windows)
                 for key, end in _stops(hist, t):
                     stops[key][0] += 1
                     stops[key][1] += end
-            if own.size() + len(seen) > HELD:
+            if len(sure) + len(seen) > HELD:
                 yield frame()
                 own.reset()
+                sure.clear()
                 seen.clear()
                 stops.clear()
                 tokens = 0
@@ -603,8 +657,11 @@ def fit(df: DataFrame, text_col: str, rounds: int = 3, least: int = 6) -> Hidden
     merged = [F.sum("n").alias("n"), F.sum("y").alias("y")]
     counted = written(texts.mapInPandas(count_texts, _COUNTS).groupBy("t", "k", "x").agg(*merged), "counts", ["t"]).select("t", "k", "x", "n", "y")
     floor = KEY_SHARE * sum(r["n"] for r in counted.filter("t = 'n'").collect())
-    stops = counted.filter("t = 'u'").filter((F.col("n") >= max(5, floor)) & (F.col("y") <= ACCIDENT * F.col("n")))
-    never = {r["k"] for r in stops.toArrow().to_pylist() if _never_ends(r["k"], r["n"], r["y"], model.short)}
+    stops = counted.filter("t = 'u'")
+    total = stops.filter("length(k) > 3 and not k like 'N%' and not k like '%.%'").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
+    usual = (total["y"] or 0) / max(1, total["n"] or 0)
+    stops = stops.filter((F.col("n") >= max(5, floor)) & (F.col("y") <= RARELY_NUMBER * usual * F.col("n")))
+    never = {r["k"] for r in stops.toArrow().to_pylist() if _never_ends(r["k"], r["n"], r["y"], model.short, usual)}
     sure = counted.filter("t not in ('v', 'u', 'n')")
     windows = counted.filter("t = 'v'").select("k", "n").repartition(parts)
 
