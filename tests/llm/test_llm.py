@@ -60,6 +60,23 @@ def test_same_look_pairs(spark):
     d = spark.createDataFrame(rows, "tbl string, id bigint, grp bigint, text string")
     assert {tuple(r) for r in normalize.same_look_pairs(d).collect()} == {("t", 1, 2), ("t", 2, 3), ("e", 1, 2)}
     assert normalize.same_look_pairs(d.limit(0)).count() == 0
+    c = normalize.same_look_classes(d).collect()
+    assert {(r["tbl"], r["id"]) for r in c} == {("t", 1), ("t", 2), ("t", 3), ("e", 1), ("e", 2)} and len(c) == 5 and {r["n_variants"] for r in c} == {2}
+
+
+def test_large_classes_are_split(spark):
+    looks = ["Acme", "Асme", "Ａcme"]
+    d = spark.createDataFrame([("t", k, None, looks[k % 3]) for k in range(60)], "tbl string, id bigint, grp bigint, text string")
+    every = {("t", a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3}
+    for split in (7, 2_000):
+        assert {tuple(r) for r in normalize.same_look_pairs(d, split).collect()} == every
+
+
+def test_look_alikes_of_further_alphabets(spark):
+    cases = ["ACME", "\u13aa\u13df\u13b7\u13ac", "\u2c80\u2ca4\u2c98\u2c88", "\ua4ee\ua4da\ua4df\ua4f0"]
+    d = spark.createDataFrame([("t", k, None, t) for k, t in enumerate(cases)], "tbl string, id bigint, grp bigint, text string")
+    got = {(r["id_a"], r["id_b"]) for r in normalize.same_look_pairs(d).collect()}
+    assert got == {(a, b) for a in range(4) for b in range(a + 1, 4)}
 
 
 # -- 5 -------------------------------------------------------------------------------------------------

@@ -38,6 +38,15 @@ LOOK_ALIKES = {
     "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
     # Armenian and others
     "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "Տ": "S", "հ": "h", "ց": "g", "ƽ": "s", "ı": "i", "ɑ": "a", "ɡ": "g",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V",
+    "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y",
+    "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # signs
     "‐": "-", "‑": "-", ";": ";", "·": "·", "․": ".", "⁄": "/", "∕": "/", "∶": ":",
 }
@@ -209,8 +218,8 @@ def fold_active(texts: DataFrame, text_col: str = "text") -> DataFrame:
     aggregation all keep that placement, so code points never travel.
     """
     spark = texts.sparkSession
-    keyed = texts.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).distinct()
-    keyed = keyed.select(*text_key(F.col("t")), "t").repartition("h1", "h2")
+    keyed = texts.filter(F.col(text_col).isNotNull()).select(*text_key(F.col(text_col)), F.col(text_col).alias("t"))
+    keyed = keyed.groupBy("h1", "h2").agg(F.first("t").alias("t"))
     points = keyed.select("h1", "h2", F.posexplode(F.regexp_extract_all("t", F.lit(f"[{common_class()}]+|(?s:.)"), F.lit(0))).alias("pos", "ch"))
     known = F.broadcast(mapping_table(spark))
     alone = F.array(F.struct(F.col("ch").alias("ch"), F.lit(0).alias("ccc")))
@@ -250,31 +259,42 @@ def with_form(df: DataFrame, text_col: str, out: str = "form", script: bool = Tr
     return both.select(*kept, F.col("_form").alias(out))
 
 
-def same_look_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of ids in the same ``tbl`` and ``grp`` whose texts look the same but are different code points.
+def same_look_classes(rows: DataFrame) -> DataFrame:
+    """tbl, class, id, variant, n_variants: the records whose text has a look-alike with other code points, by class.
 
-    ``rows``: tbl string, id bigint, grp bigint (null: one group for the whole table), text string.
-    Pairs are formed between distinct texts first and expanded to ids last, so a text delivered
-    many times costs what its result rows cost and no more. Texts without a partner that the table
-    touches cannot be in a pair and are dropped by key before the joins.
+    ``rows``: tbl string, id bigint, grp bigint (null: one group for the whole table), text string. A
+    class is what looks the same in one ``tbl`` and ``grp``, a variant one sequence of code points. Classes
+    are found among distinct texts, of which there is one row each however often it is delivered; only
+    then are records marked. One row per record and variant.
     """
-    base = rows.filter(F.col("text").isNotNull() & F.col("id").isNotNull()).select("tbl", "id", "grp", "text")
+    base = rows.filter(F.col("text").isNotNull() & F.col("id").isNotNull()).select("tbl", "id", F.coalesce("grp", F.lit(-1)).alias("grp"), F.col("grp").isNull().alias("whole"), "text")
     base = base.withColumn("active", is_active(F.col("text")))
     # every text is read and tested once; later steps need hashes, and the text of active rows only
-    base = written(base.select("tbl", "id", "grp", *text_key(F.col("text")), "active", F.when(F.col("active"), F.col("text")).alias("text")), "texts")
+    base = written(base.select("tbl", "id", "grp", "whole", *text_key(F.col("text")), "active", F.when(F.col("active"), F.col("text")).alias("text")), "texts")
     forms = fold_active(base.filter("active").select("text")).select("h1", "h2", *[c.alias(n) for c, n in zip(text_key(F.col("form")), ("s1", "s2"), strict=True)])
-    ids = ["tbl", "id", "grp", "h1", "h2"]
-    keys = [F.xxhash64("tbl", "grp", "s1", "s2").alias("k"), F.xxhash64("s2", "s1", "grp", "tbl").alias("k2")]
-    active = base.filter("active").select(*ids).join(forms, ["h1", "h2"]).select("tbl", "id", "h1", "h2", *keys).distinct()
-    plain = base.filter(~F.col("active")).select(*ids, F.col("h1").alias("s1"), F.col("h2").alias("s2"))
-    wanted = active.select("k", "k2").distinct()
-    plain = plain.select("tbl", "id", "h1", "h2", *keys).join(wanted, ["k", "k2"], "left_semi").distinct()
-    every = active.unionByName(plain)
-    texts = every.select("k", "k2", "h1", "h2").distinct()
-    a = texts.select("k", "k2", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    b = texts.select("k", "k2", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    variants = a.join(b, ["k", "k2"]).filter((F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2"))))
-    left = every.select("k", "k2", F.col("h1").alias("a1"), F.col("h2").alias("a2"), "tbl", F.col("id").alias("x"))
-    right = every.select("k", "k2", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("id").alias("y"))
-    pairs = variants.join(left, ["k", "k2", "a1", "a2"]).join(right, ["k", "k2", "b1", "b2"]).filter("x <> y")
+    place = ["tbl", "grp", "whole", "h1", "h2"]
+    texts = base.groupBy(*place).agg(F.first("active").alias("active"))
+    folded = texts.filter("active").join(forms, ["h1", "h2"]).select(*place, "s1", "s2")
+    plain = texts.filter("not active").select(*place, F.col("h1").alias("s1"), F.col("h2").alias("s2"))
+    key = ["tbl", "grp", "whole", "s1", "s2"]
+    many = folded.unionByName(plain).withColumn("n_variants", F.count("*").over(Window.partitionBy(*key))).filter("n_variants > 1")
+    names = [F.xxhash64(*key).alias("class"), F.xxhash64("h2", "h1").alias("variant")]
+    variants = written(many.select(*place, F.col("n_variants").cast("int").alias("n_variants"), *names), "variants")
+    return base.select("id", *place).join(variants, place).select("tbl", "class", "id", "variant", "n_variants").distinct()
+
+
+def same_look_pairs(rows: DataFrame, split: int = 2_000) -> DataFrame:
+    """Pairs of ids in the same ``tbl`` and ``grp`` whose texts look the same but are different code points.
+
+    The pairs are what is asked for here; ``same_look_classes`` holds the same in one row per record.
+    A class of more than ``split`` records is cut into blocks, and every two blocks meet in a group of
+    their own, so no task gets a whole class.
+    """
+    members = written(same_look_classes(rows).select("tbl", "class", "id", "variant"), "classes")
+    size = members.groupBy("class").agg(F.count("*").alias("n")).filter(F.col("n") > split)
+    crowded = size.select("class", F.ceil(F.col("n") / split).cast("int").alias("blocks"))
+    m = members.join(crowded, "class", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = m.select("tbl", "class", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("j"), F.col("id").alias("x"), F.col("variant").alias("v"))
+    right = m.select("class", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("id").alias("y"), F.col("variant").alias("w"))
+    pairs = left.join(right, ["class", "i", "j"]).filter("v <> w and x <> y and (i < j or x < y)")
     return pairs.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -31,10 +31,19 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(_t(spark, sf, "test_sentences"))
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+def _look_rows(spark: SparkSession, sf: str) -> DataFrame:
     s = _t(spark, sf, "test_sentences").select(F.lit("test_sentences").alias("tbl"), F.col("sent_id").alias("id"), F.lit(None).cast("bigint").alias("grp"), "text")
     e = _t(spark, sf, "extracted_entity").filter("sent_id is not null").select(F.lit("extracted_entity").alias("tbl"), F.col("entity_id").alias("id"), F.col("sent_id").alias("grp"), "text")
-    return normalize.same_look_pairs(s.unionByName(e))
+    return s.unionByName(e)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.same_look_pairs(_look_rows(spark, sf))
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The records that have a look-alike, one row each with the class they are in."""
+    return normalize.same_look_classes(_look_rows(spark, sf))
 
 
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
