@@ -90,6 +90,10 @@ def test_frequent_values_and_bounds(spark):
     for r in true:
         assert got[r["text"]]["lower"] <= r["count"] == got[r["text"]]["n"] <= got[r["text"]]["upper"]
     assert frequent.heavy_hitters(d.limit(0), ["label", "text"], 0.01).count() == 0
+    bounds = frequent.heavy_hitters(d, ["label", "text"], 0.01, width=64, exact=False).collect()
+    assert {r["text"] for r in bounds} >= set(got) and all(r["lower"] <= got[r["text"]]["n"] <= r["upper"] for r in bounds if r["text"] in got)
+    rare = frequent.heavy_hitters(d, ["label", "text"], 0.0005, width=4, most_width=8)  # no certificate within the bound: exact grouping
+    assert {(r["text"], r["n"]) for r in rare.collect()} == {(r["text"], r["count"]) for r in d.na.drop(subset=["text"]).groupBy("text").count().filter("count >= 2").collect()}
 
 
 def test_sketch_bounds_hold_for_all(spark):

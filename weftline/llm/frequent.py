@@ -8,13 +8,15 @@ For a value x and any row, with the cell's total V, candidate K and surplus C:
 * lower bound: C if K = x, else 0; the largest over the rows holds.
 
 Each task keeps one sketch, whatever it reads; the merge keeps one sketch as well, because partial
-cells are merged in a stream. Values travel as 64-bit hashes and get their texts back by a broadcast
-of the candidates, of which there are at most width * depth.
+cells are merged in a stream. Values are counted as 64-bit hashes; the keys of the current candidates,
+at most width * depth, travel with their cells, so that bounds need no second pass.
 
 Completeness is certified, not assumed: a value that is nobody's candidate in a row counts at most
 (V - C) / 2 of its cell there. If that is below the threshold for all cells of some row, the
 candidates of that row hold every frequent value. Otherwise the sketch is built again, twice as
-wide and with other hash functions.
+wide and with other hash functions, up to ``most_width``; what cannot be certified even then (a share
+near 1 / most_width or below) is counted by an exact grouping, which shuffles and spills instead of
+holding memory.
 
 Defined results: rows with a null in any key column are not counted; empty strings are values;
 values at exactly the threshold are frequent; an empty table gives no rows; ties are all reported;
@@ -88,36 +90,64 @@ class Sketch:
         return int(((self.v - self.c) // 2).reshape(self.depth, self.width).max(axis=1).min())
 
 
-def build_sketch(hashes: DataFrame, width: int, depth: int, seed: int = 0) -> Sketch:
-    """The sketch of column ``h`` (bigint) of ``hashes``."""
+class Candidates(dict):
+    """The keys of the candidates of a sketch, by hash."""
+
+    def note(self, sketch: Sketch, h: np.ndarray, keys: pd.DataFrame) -> None:
+        """Take the keys of those hashes that are candidates now; forget the others once they outnumber the cells."""
+        at = np.flatnonzero(np.isin(h, sketch.k))
+        for x, row in zip(h[at].tolist(), keys.iloc[at].itertuples(index=False, name=None), strict=True):
+            self.setdefault(x, row)
+        if len(self) > 2 * len(sketch.k):
+            now = set(sketch.k.tolist())
+            for x in [x for x in self if x not in now]:
+                del self[x]
+
+    def frame(self, sketch: Sketch, names: list[str]) -> pd.DataFrame:
+        out = sketch.frame()
+        rows = [self.get(x) or (None,) * len(names) for x in out["k"].tolist()]
+        for i, n in enumerate(names):
+            out[n] = pd.Series([r[i] for r in rows], index=out.index, dtype=object)
+        return out
+
+
+def build_sketch(hashes: DataFrame, width: int, depth: int, seed: int = 0) -> tuple[Sketch, Candidates]:
+    """The sketch of column ``h`` (bigint) of ``hashes`` and the other columns of its candidates."""
+    keys = hashes.drop("h")
+    names = [f"key{i}" for i in range(len(keys.columns))]
+    hashes = hashes.select("h", *[F.col(c).alias(n) for c, n in zip(keys.columns, names, strict=True)])
+    schema = f"{CELL}, {hashes.drop('h')._jdf.schema().toDDL()}" if names else CELL
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Sketch(width, depth, seed)
+        s, known = Sketch(width, depth, seed), Candidates()
         for b in batches:
-            h, n = np.unique(b["h"].to_numpy(), return_counts=True)
+            h, first, n = np.unique(b["h"].to_numpy(), return_index=True, return_counts=True)
             if len(h):
                 s.add(h, n.astype(np.int64))
-        yield s.frame()
+                known.note(s, h, b[names].iloc[first])
+        yield known.frame(s, names)
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Sketch(width, depth, seed)
+        s, known = Sketch(width, depth, seed), Candidates()
         for b in batches:
             nth = b.groupby("cell").cumcount().to_numpy()
             for i in range(int(nth.max(initial=-1)) + 1):
                 p = b[nth == i]
                 s.merge(*(p[x].to_numpy(dtype=np.int64) for x in ("cell", "v", "k", "c")))
-        yield s.frame()
+                known.note(s, p["k"].to_numpy(dtype=np.int64), p[names])
+        yield known.frame(s, names)
 
     spark = hashes.sparkSession
     parts = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = hashes.select("h").mapInPandas(local, CELL).repartition(parts, "cell").mapInPandas(merged, CELL)
-    out = Sketch(width, depth, seed)
+    cells = hashes.mapInPandas(local, schema).repartition(parts, "cell").mapInPandas(merged, schema)
+    out, known = Sketch(width, depth, seed), Candidates()
     got = cells.toPandas()  # at most width * depth rows
     out.merge(*(got[x].to_numpy(dtype=np.int64) for x in ("cell", "v", "k", "c")))
-    return out
+    known.note(out, got["k"].to_numpy(dtype=np.int64), got[names])
+    return out, known
 
 
-def heavy_hitters(df: DataFrame, keys: list[str], share: float, width: int = 4096, depth: int = 4, exact: bool = True) -> DataFrame:
+def heavy_hitters(df: DataFrame, keys: list[str], share: float, width: int = 4096, depth: int = 4, exact: bool = True, most_width: int = 1 << 18) -> DataFrame:
     """Values of ``keys`` that may hold at least ``share`` of the rows without nulls in ``keys``.
 
     Columns: the keys, ``lower``, ``upper`` and, with ``exact=True``, ``n`` from a second pass that
@@ -128,19 +158,25 @@ def heavy_hitters(df: DataFrame, keys: list[str], share: float, width: int = 409
     hashed = rows.withColumn("h", F.xxhash64(*keys))
     seed = 0
     while True:
-        s = build_sketch(hashed, width, depth, seed)
+        s, known = build_sketch(hashed, width, depth, seed)
         total = int(s.v.reshape(depth, width).sum(axis=1)[0])
         least = math.ceil(Fraction(str(share)) * total)
         if total == 0 or s.complete_above() < least:
             break
+        if 2 * width > most_width:
+            n = F.col("n")
+            return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(n >= least).select(*keys, *([n] if exact else []), n.alias("lower"), n.alias("upper"))
         width, seed = 2 * width, seed + 1
     found = np.unique(s.k[s.v > 0])
     lower, upper = s.bounds(found)
     keep = upper >= max(least, 1)
     pdf = pd.DataFrame({"h": found[keep], "lower": lower[keep], "upper": upper[keep]})
+    if not exact:
+        for i, k in enumerate(keys):
+            pdf[k] = pd.Series([known[x][i] for x in pdf["h"].tolist()], dtype=object)
+        schema = ", ".join([rows._jdf.schema().toDDL(), "lower bigint", "upper bigint"])
+        return spark.createDataFrame(pdf[[*keys, "lower", "upper"]].values.tolist(), schema)
     candidates = spark.createDataFrame(pdf, "h bigint, lower bigint, upper bigint")
     hits = hashed.join(F.broadcast(candidates), "h")  # at most width * depth rows
     out = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.first("lower").alias("lower"), F.first("upper").alias("upper"))
-    if exact:
-        return out.filter(F.col("n") >= F.lit(least))
-    return out.drop("n")
+    return out.filter(F.col("n") >= F.lit(least))
