@@ -132,23 +132,149 @@ def test_asof_in_ranges_equals_brute_force(spark, keyed):
         assert spark.createDataFrame(left, "k string, t int, id int").count() == many.count()
 
 
-def test_graph_fragments_with_a_stand_in():
+def stand_in():
+    """A class of its own, which goes to the workers by value."""
+
+    class StandIn:
+        """Fragments that compute what the lexical backend does, of either generation; pieces are found again by their first subword."""
+
+        pieces: dict = {}
+        order: list = []
+
+        def __init__(self, labels, semantics, split_spans=False):
+            self.labels, self.semantics, self.split_spans = labels, semantics, split_spans
+
+        @classmethod
+        def encode(cls, pieces):
+            out = []
+            for p in pieces:
+                if p not in cls.pieces:
+                    cls.pieces[p] = 10 + len(cls.order)
+                    cls.order.append(p)
+                out.append([cls.pieces[p]] + [1] * (max(1, -(-len(p) // 4)) - 1))
+            return out
+
+        def inputs(self, name):
+            v1 = {"encoder": ["input_ids"], "count_pred": ["x"], "count_lstm": ["pc_emb", "gold_count_val"], "span_rep": ["last_hidden_state", "span_start_idx", "span_end_idx"]}
+            if self.semantics == "v1" and (name != "span_rep" or self.split_spans):
+                return v1[name]
+            return {"span_rep": ["hidden_states", "span_idx"]}[name]
+
+        def features(self, w):
+            import regex
+
+            from weftline.backends.lexical import FEATURES
+
+            return [1, *[int(bool(regex.search(j, w))) for _, j, _ in FEATURES], int(len(w) >= 8)]
+
+        def run(self, name, x):
+            import numpy as np
+
+            from weftline.backends.lexical import weights
+
+            if name == "encoder":
+                ids = x["input_ids"][0].tolist()
+                words = [self.order[i - 10] if i >= 10 else None for i in ids]
+                text = words.index("[SEP_TEXT]")
+                upper = sum(bool(w) and w[0].isupper() and k > text for k, w in enumerate(words[:-1]))
+                mean = np.array([self.features(w) for w in words[text + 1 : -1] if w]).mean(axis=0)
+                # features, what it is called, the count of the text, the mean of its words
+                h = [[*(self.features(w) if w else [0] * 8), self.pieces.get(w, 0), upper, *mean] for w in words]
+                return {"last_hidden_state": np.array([h], dtype=np.float64)}
+            if name == "token_gather":
+                return {"text_embs": x["last_hidden_state"][:, x["word_indices"]]}
+            if name == "span_rep":
+                words = x.get("hidden_states", x.get("last_hidden_state"))[0][:, :8]
+                a, b = (x["span_idx"][0, :, 0], x["span_idx"][0, :, 1]) if "span_idx" in x else (x["span_start_idx"][0], x["span_end_idx"][0])
+                return {"span_embeddings": np.concatenate([words[a], words[b], (1 - np.abs(b - a - 1))[:, None], np.ones((len(a), 1))], axis=1)[None]}
+            if name == "schema_gather":
+                g = x["last_hidden_state"][0, x["schema_indices"]]
+                return {"pc_emb": g[:1], "field_embs": g[1:]}
+            if name == "count_pred_argmax":
+                return {"pred_count": np.array([min(20, int(x["pc_emb"][0, 9]))])}
+            if name == "count_pred":
+                return {"count_logits": -np.abs(np.arange(21)[None] - min(20, x["x"][0, 9]))}
+            if name in ("count_lstm_fixed", "count_lstm"):
+                names = [self.order[int(i) - 10] for i in x.get("field_embs", x.get("pc_emb"))[:, 8]]
+                slots = 20 if name == "count_lstm_fixed" else int(x["gold_count_val"])
+                return {"struct_proj" if slots == 20 and name == "count_lstm_fixed" else "count_embeddings": np.array([[[*weights(n)[0], *weights(n)[1], 1, -2 * c] for n in names] for c in range(slots)], dtype=np.float64)}
+            if name == "scorer":
+                return {"entity_scores": 1 / (1 + np.exp(-np.einsum("wkh,cmh->cwkm", x["span_embeddings"][0], x["struct_proj"])))}
+            assert name == "classifier" and not x["span_embeddings"][:, :, 1:].any()
+            rows = x["span_embeddings"][0, :, 0]
+            return {"logits": np.array([np.dot(weights(self.order[int(r[8]) - 10])[0], r[10:]) for r in rows])[None, :, None, None]}
+
+    return StandIn
+
+
+@pytest.mark.parametrize(("semantics", "split_spans"), [("v2", False), ("v1", False), ("v1", True)])
+def test_graphs_give_what_the_lexical_plan_gives(spark, semantics, split_spans):
+    from weftline.backends.onnx import GraphBackend
+
+    tasks = [T.entities("person", "date"), T.relations("works_with", "head", "tail"), T.classifications("topic", "finance", "legal")]
+    d = df(spark, ["Anna Bell met Carl Jones of Acme-Works on 3 May", "nothing here", "Rome", "", None, "Is  it\nMonday, 4 July?"])
+    made = stand_in()
+    graph = GraphBackend(runner=lambda: made(tasks, semantics, split_spans), encoder=lambda: made.encode)
+
+    def rows(backend):
+        e = ExtractionEngine(semantics=semantics, **({"backend": backend} if backend else {})).extract(d, tasks, "id", "text", 0.8)
+        found = {(r["id"], r["label"], r["text"], round(r["score"], 5), r["rank"], r["c_idx"], r["start_tok"], r["end_tok"], r["char_start"], r["byte_end"], r["is_padding"]) for r in e.entities.collect()}
+        pairs = {(r["id"], r["c_idx"], r["head"]["text"], r["tail"]["text"], r["relation_type"], r["task_name"]) for r in e.relations.collect()}
+        return found, pairs, {(r["id"], r["label"], round(r["score"], 5), r["task_name"]) for r in e.classifications.collect()}, e.results.count()
+
+    assert rows(graph) == rows(None)
+
+
+def test_disagreeing_fragments_raise():
     import numpy as np
 
-    from weftline.backends.onnx import run_fragments, span_indexes
+    from weftline.backends.onnx import build_sequence, run_fragments, span_indexes
 
     assert span_indexes(2, 2).tolist() == [[0, 0], [0, 1], [1, 1], [0, 0]]
+    seq = build_sequence([[5], [6, 7]], [1], [[0]], [[8, 9], [3]], (1, 2))
+    assert seq.ids == [1, 5, 6, 7, 8, 9, 3, 2] and seq.heads == [2] and seq.fields == [[1]] and seq.starts == [4, 6] and seq.ends == [6, 7]
 
-    def run(name, x):
-        return {
-            "encoder": lambda: {"last_hidden_state": np.ones((1, x["input_ids"].shape[1], 2))}, "token_gather": lambda: {"text_embs": np.ones((1, 2, 2))},
-            "span_rep": lambda: {"span_embeddings": np.ones((1, 2, 2, 2))}, "schema_gather": lambda: {"pc_emb": np.ones((1, 2)), "field_embs": np.ones((1, 2))},
-            "count_pred_argmax": lambda: {"pred_count": np.array([1])}, "count_lstm_fixed": lambda: {"struct_proj": np.ones((20, 1, 2))},
-            "scorer": lambda: {"entity_scores": np.full((20, 2, 2, 1), 0.9)},
-        }[name]()
+    class Bad:
+        def inputs(self, name):
+            return ["hidden_states", "span_idx"]
 
-    (task, scores), = run_fragments(run, [1, 2, 3], [1, 2], [(0, [1])], 2)
-    assert task == 0 and scores.shape == (1, 2, 2, 1)
+        def run(self, name, x):
+            return {
+                "encoder": {"last_hidden_state": np.ones((1, 8, 2))}, "token_gather": {"text_embs": np.ones((1, 2, 2))}, "span_rep": {"span_embeddings": np.ones((1, 2, 2, 2))},
+                "schema_gather": {"pc_emb": np.ones((1, 2)), "field_embs": np.ones((1, 2))}, "count_pred_argmax": {"pred_count": np.array([1])}, "count_lstm_fixed": {"struct_proj": np.ones((20, 1, 3))},
+            }[name]
+
+    with pytest.raises(ValueError):
+        list(run_fragments(Bad(), seq, [T.entities("a")], 2, "v2"))
+
+
+def test_threshold_and_mode_of_each_text(spark):
+    d = spark.createDataFrame([(0, "Anna Bell met Carl Jones", 0.5, False), (1, "Anna Bell met Carl Jones", 0.95, True), (2, "Anna Bell met Carl Jones", 1.0, True)], "id bigint, text string, t double, f boolean")
+    tasks = [T.entities("person", "organization")]
+    got = {(r["id"], r["label"], r["text"], r["score"]) for r in ExtractionEngine().extract(d, tasks, "id", "text", F.col("t"), F.col("f")).entities.collect()}
+    each = set()
+    for i, t, f in ((0, 0.5, False), (1, 0.95, True)):
+        each |= {(r["id"], r["label"], r["text"], r["score"]) for r in ExtractionEngine().extract(d.filter(f"id = {i}"), tasks, "id", "text", t, f).entities.collect()}
+    assert got == each and got
+
+
+def test_tokenizer_file_sequences(spark):
+    import public_tokenizers
+
+    from weftline.operators.prompt import encode_pieces
+
+    d = spark.createDataFrame([(1, ["(", "person", "Acme-Works"]), (2, [])], "id int, pieces array<string>")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    one = lambda x: tok.encode(x, add_special_tokens=False).ids
+    for r in encode_pieces(d, "pieces", path).collect():
+        want, at = one("[CLS]")[:1], []
+        for p in r["pieces"]:
+            at.append(len(want))
+            want += one(p)
+        assert r["input_ids"] == want + one("[SEP]")[:1] and r["piece_starts"] == at and r["attention_mask"] == [1] * len(r["input_ids"])
 
 
 def test_model_folder(tmp_path):

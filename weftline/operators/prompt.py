@@ -72,6 +72,33 @@ def subword_positions(words: DataFrame, prompt_subwords: int) -> DataFrame:
     return words.withColumn("end_tok", end).withColumn("start_tok", F.col("end_tok") - n_subwords(F.col("word")))
 
 
+def field_subwords(tasks: DataFrame) -> DataFrame:
+    """``field_positions`` as places of first subwords after [CLS] under the test tokenizer: task_idx, prompt_tok, label_idx, label, field_tok."""
+    before = Window.orderBy("piece_idx").rowsBetween(Window.unboundedPreceding, -1)  # a prompt is small
+    at = prompt_pieces(tasks).select("piece_idx", (F.coalesce(F.sum(n_subwords(F.col("piece"))).over(before), F.lit(0)) + 1).alias("tok"))
+    f = field_positions(tasks)
+    heads, labels = at.select(F.col("piece_idx").alias("prompt_idx"), F.col("tok").alias("prompt_tok")), at.select(F.col("piece_idx").alias("field_idx"), F.col("tok").alias("field_tok"))
+    return f.join(heads, "prompt_idx").join(labels, "field_idx").select("task_idx", "prompt_tok", "label_idx", "label", "field_tok")
+
+
+def sequences(texts: DataFrame, words: DataFrame, tasks: Sequence[Task]) -> DataFrame:
+    """One record per text that is not null: id, pieces (prompt and words), attention_mask, word_to_token, text_start, text_end.
+
+    ``texts`` has id, ``words`` subword positions. A text without words has the prompt alone and bounds of 0.
+    """
+    pieces, _, _ = assemble(tasks)
+    own = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start_tok", "end_tok"))).alias("w"))  # the words of one text
+    w = F.coalesce("w", F.array().cast("array<struct<pos:int,word:string,start_tok:bigint,end_tok:bigint>>"))
+    size = sum(max(1, -(-len(p) // 4)) for p in pieces)
+    last = F.coalesce(F.try_element_at(w, F.lit(-1))["end_tok"], F.lit(0).cast("bigint"))
+    return texts.select("id").join(own, "id", "left").select(
+        "id", F.concat(F.array(*[F.lit(p) for p in pieces]), F.transform(w, lambda x: x["word"])).alias("pieces"),
+        F.array_repeat(F.lit(1).cast("bigint"), F.when(last > 0, last + 1).otherwise(size + 2).cast("int")).alias("attention_mask"),
+        F.transform(w, lambda x: F.struct(x["start_tok"].alias("s"), x["end_tok"].alias("e"))).alias("word_to_token"),
+        F.coalesce(F.try_element_at(w, F.lit(1))["start_tok"], F.lit(0).cast("bigint")).alias("text_start"), last.alias("text_end"),
+    )
+
+
 def encode_pieces(df: DataFrame, pieces_col: str, tokenizer_file: str) -> DataFrame:
     """``df`` with input_ids, attention_mask, piece_starts for array<string> pieces under a tokenizer file.
 
@@ -79,17 +106,17 @@ def encode_pieces(df: DataFrame, pieces_col: str, tokenizer_file: str) -> DataFr
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
+        from weftline.backends.onnx import file_encoder
 
-        tok = Tokenizer.from_file(tokenizer_file)
-        edge = [tok.encode(x, add_special_tokens=False).ids for x in (FIRST, LAST)]
+        encode = file_encoder(tokenizer_file)
+        edge = encode([FIRST, LAST])
         for b in batches:
             ids, starts = [], []
             for pieces in b[pieces_col]:
                 row, at = list(edge[0][:1]), []
-                for e in tok.encode_batch(list(pieces), add_special_tokens=False):
+                for e in encode(list(pieces)):
                     at.append(len(row))
-                    row += e.ids
+                    row += e
                 ids.append(row + list(edge[1][:1]))
                 starts.append(at)
             yield b.assign(input_ids=ids, attention_mask=[[1] * len(r) for r in ids], piece_starts=starts)

@@ -101,6 +101,30 @@ def sequence_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("id").agg(F.min("start_tok").alias("text_start"), F.max("end_tok").alias("text_end"), (F.max("end_tok") + 1).alias("sequence_length"), F.count("*").alias("n_words"))
 
 
+@query(f"""WITH {_BLOCKS}, n AS (SELECT *, row_number() OVER (ORDER BY task_idx, k) - 1 AS i FROM y),
+s AS (SELECT *, 1 + coalesce(sum(greatest(CAST(ceil(length(piece) / 4.0) AS BIGINT), 1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tok FROM n),
+h AS (SELECT task_idx, tok AS prompt_tok FROM s WHERE piece = '[P]'),
+m AS (SELECT task_idx, piece AS label, i, tok, lag(piece) OVER (ORDER BY i) AS before FROM s)
+SELECT m.task_idx, CAST(h.prompt_tok AS BIGINT) AS prompt_tok, CAST(row_number() OVER (PARTITION BY m.task_idx ORDER BY i) - 1 AS INT) AS label_idx, label, CAST(tok AS BIGINT) AS field_tok
+FROM m JOIN h ON m.task_idx = h.task_idx WHERE before IN ('[E]', '[R]', '[L]')""")
+def field_subwords(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the prompt and the labels of each task stand among the subwords."""
+    return prompt.field_subwords(_t(spark, sf, "extraction_task"))
+
+
+@query(f"""{_SENT}, {sql.subwords(_prompt_size(TASK))},
+b AS (SELECT id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS ws, min(start_tok) AS s, max(end_tok) AS e FROM wt GROUP BY id)
+SELECT t.sent_id AS id, '{" ".join(prompt.assemble([TASK])[0])}' || coalesce(' ' || ws, '') AS pieces, CAST(coalesce(n, 0) AS INT) AS n_words,
+CAST(coalesce(e + 1, {_prompt_size(TASK) + 2}) AS BIGINT) AS mask, CAST(coalesce(s, 0) AS BIGINT) AS text_start, CAST(coalesce(e, 0) AS BIGINT) AS text_end
+FROM test_sentences t LEFT JOIN b ON b.id = t.sent_id WHERE t.text IS NOT NULL""")
+def sequence_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompt and words of every text as one sequence, with its mask, maps and bounds."""
+    t = _t(spark, sf, "test_sentences").filter("text is not null").select(F.col("sent_id").alias("id"), "text")
+    s = prompt.sequences(t, ExtractionEngine().words(t, [TASK], "id", "text"), [TASK])
+    mask = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return s.select("id", F.array_join("pieces", " ").alias("pieces"), F.size("word_to_token").alias("n_words"), mask.alias("mask"), "text_start", "text_end")
+
+
 # -- spans and scores -------------------------------------------------------------------------------
 def _span_sql(where: str) -> str:
     return f"""{_SENT}, n AS (SELECT id, pos, count(*) OVER (PARTITION BY id) AS n FROM w)
