@@ -285,3 +285,55 @@ def test_model_folder(tmp_path):
         (tmp_path / f"{n}_fp32.onnx").touch()
     (tmp_path / "encoder_fp16.onnx").touch()
     assert model_version(str(tmp_path)) == "v2" and model_files(str(tmp_path))["encoder"].endswith("encoder_fp16.onnx")
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from weftline.sources.texts import read_texts, write_extraction, write_texts
+
+    rows = [(1, 'He said "a, b"\nand left', "en"), (2, "", None), (3, None, "it"), (4, " spaced ", "de")]
+    d = spark.createDataFrame(rows, "id bigint, text string, language string")
+    for fmt in ("parquet", "json", "csv", "orc"):
+        got = read_texts(spark, write_texts(d, fmt, str(tmp_path / fmt)), fmt, "id bigint, text string, language string")
+        assert sorted(map(tuple, got.collect())) == rows
+    with pytest.raises(ValueError):
+        read_texts(spark, "x", "avro2")
+    out = ExtractionEngine().extract(d, [T.entities("person"), T.classifications("c", "a", "b")], "id", "text", 0.5)
+    assert write_extraction(out, str(tmp_path / "out")) == ["entities", "classifications"]
+    assert spark.read.parquet(str(tmp_path / "out/entities")).count() == out.entities.count() > 0
+
+
+def test_sql_functions(spark):
+    from weftline.functions.sql import register
+
+    assert "wl_spans" in register(spark)
+    r = spark.sql("SELECT wl_split_words('Anna met a.b@c.example') AS w, wl_argmax_first(array(1D, 3D, 3D)) AS a, wl_overlaps(0, 2, 2, 3) AS o, wl_dot(array(1D, 2D), array(3D, 4D)) AS d, wl_sigmoid(0D) AS s").first()
+    assert r["w"] == ["Anna", "met", "a.b@c.example"] and r["a"] == 1 and not r["o"] and r["d"] == 11 and r["s"] == 0.5
+    assert spark.sql("SELECT count(*) AS n, count_if(is_padding) AS p FROM wl_spans(10, 8)").first()[:] == (80, 28)
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    from weftline.streaming.extract import entity_counts, row_local_entities
+
+    src = str(tmp_path / "in")
+    for k, day in enumerate(("2025-01-01", "2025-01-10", "2025-01-10", "2025-01-01", "2025-02-01")):
+        spark.sql(f"SELECT {k}L AS id, 'Anna met him' AS text, timestamp'{day} 10:00:00' AS at").coalesce(1).write.mode("append").parquet(f"{src}/{k}")
+    stream = spark.readStream.schema("id bigint, text string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    rows = entity_counts(row_local_entities(stream, "id", "text", T.entities("person"), 0.9, keep=["at"]), "at", "1 day", "1 hour")
+    rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    got = {str(r["window_start"])[:10]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    one = row_local_entities(spark.createDataFrame([(1, "Anna met him")], "id bigint, text string"), "id", "text", T.entities("person"), 0.9).count()
+    assert got == {"2025-01-01": one, "2025-01-10": 2 * one}  # the fourth file came too late, the last window is open
+
+
+def test_v1_drops_spans_without_subwords(spark):
+    from weftline.backends.onnx import GraphBackend
+
+    class Empty(GraphBackend):
+        def span_scores(self, words, *_):
+            w = words.select("id", "pos", "char_start", "char_end", "byte_start", "byte_end", "start_tok", "end_tok", "word")
+            ends = F.when(F.col("pos") == 0, F.col("start_tok")).otherwise(F.col("end_tok"))
+            return w.select("id", F.lit(0).alias("c_idx"), F.col("pos").alias("start"), F.lit(0).alias("width_idx"), F.lit(0).alias("task_idx"), F.lit(0).alias("label_idx"), F.lit("x").alias("label"), F.lit(0.9).alias("score"), "char_start", "char_end", "byte_start", "byte_end", "start_tok", ends.alias("end_tok"), F.col("word").alias("text"))
+
+    d = df(spark, ["one two three"])
+    n = {s: ExtractionEngine(Empty(), semantics=s).extract(d, [T.entities("x")], "id", "text").entities.count() for s in ("v1", "v2")}
+    assert n == {"v1": 2, "v2": 3}

@@ -65,8 +65,14 @@ class LexicalBackend:
     def width_scores(self, labels: Sequence[str], max_width: int) -> list[list[int]]:
         return [[1 - abs(k - 1) for _ in labels] for k in range(max_width)]
 
+    def _bounds(self, labels: Sequence[str], which: int) -> list[float]:
+        return [v[0] + sum(w for w in v[1:] if w > 0) for v in (weights(x)[which] for x in labels)]
+
+    def start_bounds(self, labels: Sequence[str]) -> list[float]:
+        return self._bounds(labels, 0)
+
     def end_bounds(self, labels: Sequence[str]) -> list[float]:
-        return [v[0] + sum(w for w in v[1:] if w > 0) for v in (weights(x)[1] for x in labels)]
+        return self._bounds(labels, 1)
 
     def counted(self, word: Column) -> Column:
         return word.rlike(r"^\p{Lu}").cast("int")

@@ -11,7 +11,7 @@ from weftline.functions.words import word_table
 from weftline.operators import decode, joins, prompt, spans
 from weftline.plans import sql
 from weftline.plans.engine import ExtractionEngine
-from weftline.streaming.extract import stream_entities
+from weftline.streaming.extract import entity_counts, row_local_classes, row_local_entities, row_local_relations, run_stream, stream_entities
 from weftline.tasks import classifications, entities as entity_task, from_table, relations
 
 NER = ("person", "organization", "location", "date", "event")
@@ -225,6 +225,17 @@ def stream_extract(spark: SparkSession, sf: str) -> DataFrame:
     return stream_entities(spark, sf, "test_sentences", "sent_id", TASK, 0.99).select(*_COLS)
 
 
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ingested_at) AS window_start, label, count(*) AS n
+FROM (WITH e AS (""" + _entities_sql(threshold=0.99) + """) SELECT e.label, s.ingested_at FROM e JOIN test_sentences s ON s.sent_id = e.id) GROUP BY 1, 2""")
+def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by label and day of arrival, counted as a stream."""
+
+    def plan(d: DataFrame) -> DataFrame:
+        return entity_counts(row_local_entities(d, "sent_id", "text", TASK, 0.99, keep=["ingested_at"]), "ingested_at", "1 day", "1 hour")
+
+    return run_stream(spark, f"{sf}/test_sentences.parquet", plan, complete=True)
+
+
 def _relations_sql(group: list[str], threshold: float) -> str:
     g = ", ".join(group)
     c = "c_idx" if "c_idx" in group else "0 AS c_idx"
@@ -319,6 +330,18 @@ def extract_multitask(spark: SparkSession, sf: str) -> DataFrame:
     return ExtractionEngine().extract(_t(spark, sf, "test_sentences"), MULTI, "sent_id", "text", THRESHOLD).results
 
 
+@query(_relations_sql(["id"], 0.8).replace("0 AS c_idx, ", ""))
+def stream_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """One relation a text, as a stream."""
+    return run_stream(spark, f"{sf}/test_sentences.parquet", lambda d: row_local_relations(d, "sent_id", "text", RELATION, 0.8))
+
+
+@query(_classify_sql(True))
+def stream_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of each text, as a stream."""
+    return run_stream(spark, f"{sf}/test_sentences.parquet", lambda d: row_local_classes(d, "sent_id", "text", TOPIC))
+
+
 @query()
 def extract_task_table(spark: SparkSession, sf: str) -> DataFrame:
     """All tasks of the task table in one pass."""
@@ -430,6 +453,59 @@ def loads_by_window(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(F.window("loaded_at", "6 hours"), "label").agg(F.count("*").alias("n")).select(F.col("window.start").alias("bucket"), "label", "n")
 
 
+@query("""SELECT source, domain, count(*) AS n, CAST(grouping(source) * 2 + grouping(domain) AS BIGINT) AS level FROM test_sentences GROUP BY GROUPING SETS ((source), (domain), ())""")
+def source_domain_sets(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "test_sentences")
+    return d.groupingSets([["source"], ["domain"], []], "source", "domain").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@query("""SELECT sent_id FROM extracted_relation UNION SELECT sent_id FROM classification_result""")
+def related_or_classified(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "extracted_relation").select("sent_id").union(_t(spark, sf, "classification_result").select("sent_id")).distinct()
+
+
+@query("""SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2""")
+def event_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """A property inside the JSON of each event."""
+    e = _t(spark, sf, "events").select("event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+    return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query("""SELECT s.source, count(*) AS n, count(DISTINCT e.text) AS texts FROM test_sentences s LEFT JOIN extracted_entity e ON s.sent_id = e.sent_id AND e.label = 'person' GROUP BY s.source""")
+def persons_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    s, e = _t(spark, sf, "test_sentences").select("sent_id", "source"), _t(spark, sf, "extracted_entity").filter("label = 'person'").select("sent_id", "text")
+    return s.join(e, "sent_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
+
+
+@query("""SELECT entity_id, loaded_at, lag(score) OVER w AS before, CAST(ntile(4) OVER w AS INT) AS quarter, dense_rank() OVER (PARTITION BY sent_id ORDER BY label NULLS LAST) AS label_rank
+FROM extracted_entity WINDOW w AS (PARTITION BY sent_id ORDER BY loaded_at, entity_id, score)""")
+def mention_windows(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("sent_id").orderBy("loaded_at", "entity_id", "score")
+    by_label = Window.partitionBy("sent_id").orderBy(F.col("label").asc_nulls_last())
+    return _t(spark, sf, "extracted_entity").select("entity_id", "loaded_at", F.lag("score").over(w).alias("before"), F.ntile(4).over(w).alias("quarter"), F.dense_rank().over(by_label).cast("bigint").alias("label_rank"))
+
+
+@query("""SELECT sent_id AS id, CAST(len(regexp_extract_all(text, '(?i)""" + sql.re2_word() + """')) AS INT) AS n_words FROM test_sentences WHERE text IS NOT NULL""")
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The splitter as a function in SQL."""
+    from weftline.functions.sql import register
+
+    register(spark)
+    _t(spark, sf, "test_sentences").createOrReplaceTempView("wl_texts")
+    return spark.sql("SELECT sent_id AS id, wl_word_count(text) AS n_words FROM wl_texts WHERE text IS NOT NULL")
+
+
+@query("""SELECT sent_id, text, language FROM test_sentences""")
+def text_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as JSON lines, CSV and ORC and read back one from the other."""
+    from weftline.sources.texts import read_texts, write_texts
+
+    out, schema = _t(spark, sf, "test_sentences").select("sent_id", "text", "language"), "sent_id bigint, text string, language string"
+    for fmt in ("json", "csv", "orc"):
+        out = read_texts(spark, write_texts(out, fmt), fmt, schema)
+    return out
+
+
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
 FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def line_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + known
 
 
-def _keep(spark: SparkSession, path: str) -> None:
+def keep_until_end(spark: SparkSession, path: str) -> None:
     """Remember a path to be deleted at the end."""
     app = spark.sparkContext.applicationId
     if app not in _WRITTEN:
@@ -84,7 +84,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None, per
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _keep(spark, path)
+    keep_until_end(spark, path)
     writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

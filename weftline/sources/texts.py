@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans.engine import Extraction
+from weftline.session import keep_until_end, shared_dir
+
+if TYPE_CHECKING:
+    from weftline.plans.engine import Extraction
 
 FORMATS = ("parquet", "json", "csv", "orc", "text")
 # File name stems and suffixes by which a model folder is told apart, in order of preference.
@@ -22,10 +27,23 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     """A table of texts; JSON lines and CSV want a schema so that nothing is read twice."""
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
-    reader = spark.read.options(**options)
+    reader = spark.read.options(**_EXACT.get(fmt, {}), **options)
     return (reader.schema(schema) if schema and fmt != "text" else reader).format(fmt).load(path)
 
 
+#: What makes each format give back what was written: nulls, quotes and line breaks.
+_EXACT = {"csv": {"nullValue": "\\N", "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}}
+
+
+def write_texts(df: DataFrame, fmt: str = "parquet", path: str | None = None, **options) -> str:
+    """Write a table of texts, to the shared folder if no path is given; where it is."""
+    if path is None:
+        path = f"{shared_dir(df.sparkSession)}/texts-{uuid.uuid4().hex}"
+        keep_until_end(df.sparkSession, path)
+    df.write.format(fmt).options(**_EXACT.get(fmt, {}), **options).save(path)
+    return path
+
+
 def write_extraction(result: Extraction, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> list[str]:
     """Write the parts that exist below ``path``; their names."""
     names = [n for n in ("entities", "relations", "classifications") if getattr(result, n) is not None]
