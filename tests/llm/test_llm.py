@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import budget, chunking, frequent, language, leakage, names, normalize, packing, sentences
+from weftline.llm import queries as llm_queries
 from weftline.llm import tokens as tok
 
 TEXTS = "sent_id bigint, text string, language string, source string, domain string, form string"
@@ -449,3 +450,42 @@ def test_pointer_doubling_equals_walking():
         at = nxt[at]
         walk.add(at)
     assert set(chunking.reached(np.array([0]), nxt).tolist()) == {int(x) for x in walk}
+
+
+# -- the registered queries ------------------------------------------------------------------------------
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.queries()))
+def test_registered_queries_run(spark, name):
+    d = llm_queries.queries()[name](spark, SF)
+    rows = d.collect()
+    assert d.columns and (rows or name in ("p5_bounds",))
+    if name.endswith("_found"):
+        wanted = {"p1": ["sent_id", "language"], "p2": ["sent_id", "char_start", "char_end"], "p3": ["tbl", "id_a", "id_b"], "p4": ["entity_id", "ref_id"], "p5": ["label", "text"], "p8": ["doc_id", "item_id"]}
+        assert d.columns == wanted[name[:2]] and len(set(rows)) == len(rows)
+
+
+def test_frequent_values_equal_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW extracted_entity AS SELECT * FROM '{SF}/extracted_entity.parquet'")
+    assert {tuple(r) for r in llm_queries.p5_found(spark, SF).select("label", "text").collect()} == set(c.execute(llm_queries.oracle_sql()["p5_found"]).fetchall())
+
+
+def test_forms_of_the_table_equal_python(spark):
+    texts = {r["sent_id"]: r["text"] for r in spark.read.parquet(f"{SF}/test_sentences.parquet").collect()}
+    got = {r["sent_id"]: r["form"] for r in normalize.with_form(spark.read.parquet(f"{SF}/test_sentences.parquet"), "text", script=False).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFC", "".join(map(normalize.fold_char, t))) for i, t in texts.items()}
+
+
+def test_containers_of_several_shards(spark):
+    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(corpus() * 3)], "doc_id bigint, text string, part int")
+    enc = tok.encoding(tok.default_vocabulary())
+    rows = packing.pack(d, capacity=700, shard_tokens=12_000).collect()
+    load = {}
+    for r in rows:
+        load[r["shard"], r["container"]] = load.get((r["shard"], r["container"]), 0) + r["n_tokens"]
+    total = sum(len(enc.encode_ordinary(t or "")) for t in corpus() * 3)
+    assert len({s for s, _ in load}) > 1 and max(load.values()) <= 700 and sum(load.values()) == total and total / (700 * len(load)) > 0.85

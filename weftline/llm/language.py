@@ -29,8 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.names import comparison_form
-from weftline.llm.sentences import HiddenEventModel, Tokens, unit_tokens
+from weftline.llm.sentences import HiddenEventModel, Tokens, unit_tokens, word_form
 from weftline.llm.sentences import fit as fit_splitter
 
 # Three-letter codes and names of languages, by two-letter code.
@@ -74,7 +73,7 @@ def content_words(t: Tokens, start: int, end: int) -> list[str]:
                 stack.append(_OPEN[raw])
             continue
         if kind in ("word", "thai", "cjk"):
-            w = comparison_form(raw)
+            w = word_form(raw)
             if kind != "word":
                 (every if stack else kept).append(w)
                 continue

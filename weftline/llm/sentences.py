@@ -31,6 +31,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import pandas as pd
@@ -57,6 +58,8 @@ _TOKEN = regex.compile(_ADDRESS + _OTHERS, regex.X | regex.V1)
 #: The same for texts that cannot hold an address.
 _TOKEN_PLAIN = regex.compile(_OTHERS, regex.X | regex.V1)
 _MAY_ADDRESS = regex.compile(r"@|://|[wｗ]\p{Cf}?w\p{Cf}?w")
+#: Forms of words, remembered.
+word_form = lru_cache(maxsize=1 << 16)(comparison_form)
 _BREAK = regex.compile(r"[\n\r\x0b\x0c\x85  ]")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "‹": "›", "〈": "〉", "《": "》", "【": "】"}
 _CLOSERS = set(_PAIRS.values()) - {"“"}
@@ -180,7 +183,7 @@ class HiddenEventModel:
         n = len(t.raw)
         for i, (raw, kind) in enumerate(zip(t.raw, t.kind, strict=True)):
             if kind == "word":
-                w = comparison_form(raw)
+                w = word_form(raw)
                 if len(w) == 1 and w.isupper():
                     c = ",X" if i and t.raw[i - 1] == "," else "X"
                 elif w in self.lexicon:
@@ -212,7 +215,7 @@ class HiddenEventModel:
                 c = raw if kind == "sign" else ("..." if raw[0] in "…" or len(raw) > 1 and raw[0] == "." else raw[:1])
                 if raw == ";" and i and unicodedata.name(t.raw[i - 1][-1], "").startswith("GREEK"):
                     c = ";?"
-                if raw == "." and i and t.kind[i - 1] == "word" and (comparison_form(t.raw[i - 1]) in self.short or len(t.raw[i - 1]) == 1):
+                if raw == "." and i and t.kind[i - 1] == "word" and (word_form(t.raw[i - 1]) in self.short or len(t.raw[i - 1]) == 1):
                     c = ".a"
                 if raw in _DASHES and i + 1 < n:
                     f = t.raw[i + 1][:1]
@@ -384,7 +387,7 @@ def _word_counts(t: Tokens, counts: dict[str, list[int]]) -> None:
     """Of every word: how often it is seen; of short ones, with a full stop, without, with one that ends a text or line, with one after which it goes on."""
     for i, k in enumerate(t.kind):
         if k == "word":
-            w = comparison_form(t.raw[i])
+            w = word_form(t.raw[i])
             cell = counts[w]
             cell[0] += 1
             if len(t.raw[i]) > 6:
