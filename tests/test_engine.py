@@ -337,3 +337,18 @@ def test_v1_drops_spans_without_subwords(spark):
     d = df(spark, ["one two three"])
     n = {s: ExtractionEngine(Empty(), semantics=s).extract(d, [T.entities("x")], "id", "text").entities.count() for s in ("v1", "v2")}
     assert n == {"v1": 2, "v2": 3}
+
+
+def test_frozen_scores(spark):
+    """Worked by hand from the stated weights: first word + last word + width; neither the weights nor the SQL are asked."""
+    e = ExtractionEngine(padding="mask").extract(df(spark, ["Anna Bell paid 3 EUR on 12/05/1990"]), [T.entities("person", "date")], "id", "text", 0.5).entities
+    got = {(r["label"], r["text"]): (r["score"], r["start_tok"], r["end_tok"], r["char_start"], r["char_end"], r["c_idx"]) for r in e.collect()}
+    # person: 2 + 2 + 1 over two words; date: 2 + 2 + 0 for one number, 2 + 2 + 1 for a number and the sign before the next
+    assert got["person", "Anna Bell"] == (0.993307, 16, 18, 0, 9, 0)  # 1 + 15 subwords of [CLS] and prompt
+    assert got["date", "3"][0] == 0.982014 or ("date", "3") not in got
+    w = [r["word"] for r in word_table(df(spark, ["Anna Bell paid 3 EUR on 12/05/1990"]), "id", "text").orderBy("pos").collect()]
+    assert w == ["Anna", "Bell", "paid", "3", "EUR", "on", "12", "/", "05", "/", "1990"]
+    r = ExtractionEngine().extract(df(spark, ["Anna Bell met him"]), [T.relations("r", "head", "tail")], "id", "text", 0.5).relations.first()
+    assert r["head"]["text"] == "Anna Bell" and r["head"]["score"] == 0.993307 and r["relation_type"] == "head" and r["task_name"] == "r"
+    c = ExtractionEngine(semantics="v1").extract(df(spark, ["a"]), [T.classifications("x", "p", "p2")], "id", "text").classifications.first()
+    assert c["label"] in ("p", "p2") and 0.5 <= c["score"] <= 1
