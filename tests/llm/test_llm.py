@@ -442,6 +442,13 @@ def test_chunks(spark, limit, overlap):
             assert a["char_start"] < a["char_end"] and b["char_start"] <= a["char_end"] < b["char_end"]
 
 
+def test_abbreviations_are_no_ends():
+    path = tok.default_vocabulary()
+    t = "Dr. Bell met J. Smith. They left, etc. and so on! Fine."
+    chars, _, strength = chunking.boundaries(t, tok.PieceCounts(path), 64, path)
+    assert [t[:c] for c, s in zip(chars.tolist(), strength.tolist()) if s == chunking.SENTENCE] == ["Dr. Bell met J. Smith.", "Dr. Bell met J. Smith. They left, etc. and so on!", t]
+
+
 def test_pointer_doubling_equals_walking():
     rng = np.random.default_rng(8)
     nxt = np.minimum(np.arange(200) + rng.integers(1, 6, 200), 199)

@@ -31,6 +31,10 @@ from weftline.llm.tokens import PieceCounts, default_vocabulary, encoding
 
 _ENDED = re.compile(r"[.!?…;:]['\"”»’)\]]*$|[。！？；।]['\"”»’」』）)\]]*$")
 _DENSE_END = re.compile(r"[。！？।」』]$")
+# Common abbreviations after which a full stop is taken for no end of a sentence; so are single letters.
+ABBREVIATIONS = frozenset(
+    "al approx art avv bzw ca cf co dept dott dr etc ex fig gen hon inc ing jr lda ltd mme mr mrs ms mt no nr op pag pp prof rev sen sig sr sra st tel vgl vol vs".split()
+)
 SENTENCE, WORD, ANY = 2, 1, 0
 
 
@@ -50,6 +54,11 @@ def _split_long(piece: str, most: int, path: str) -> tuple[list[str], list[int]]
     return parts, sizes
 
 
+def _shortened(piece: str) -> bool:
+    word = piece.strip().lower()
+    return word in ABBREVIATIONS or len(word) == 1 and word.isalpha()
+
+
 def boundaries(text: str, counts: PieceCounts, most: int, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(characters, tokens, strength) up to every place where the text may be cut."""
     pieces, sizes = counts.pieces(text)
@@ -66,7 +75,7 @@ def boundaries(text: str, counts: PieceCounts, most: int, path: str) -> tuple[np
         c = nxt[0]
         if c in " \n\t\r  　":
             strength[k] = WORD
-            if own[-1] not in " \n" and (("\n" in nxt) or (_ENDED.search(own) and not (nxt[1:2] or (pieces[k + 2][:1] if k + 2 < len(pieces) else "")).islower())):
+            if own[-1] not in " \n" and (("\n" in nxt) or (_ENDED.search(own) and not (own == "." and k and _shortened(pieces[k - 1])) and not (nxt[1:2] or (pieces[k + 2][:1] if k + 2 < len(pieces) else "")).islower())):
                 strength[k] = SENTENCE
         elif own[-1] in "\n" or _DENSE_END.search(own):
             strength[k] = SENTENCE
