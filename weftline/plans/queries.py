@@ -464,11 +464,11 @@ def related_or_classified(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "extracted_relation").select("sent_id").union(_t(spark, sf, "classification_result").select("sent_id")).distinct()
 
 
-@query("""SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2""")
 def event_properties(spark: SparkSession, sf: str) -> DataFrame:
     """A property inside the JSON of each event."""
     e = _t(spark, sf, "events").select("event_type", "value", F.get_json_object("props", "$.k").alias("k"))
-    return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 @query("""SELECT s.source, count(*) AS n, count(DISTINCT e.text) AS texts FROM test_sentences s LEFT JOIN extracted_entity e ON s.sent_id = e.sent_id AND e.label = 'person' GROUP BY s.source""")
