@@ -103,16 +103,8 @@ def _one(out: dict[str, np.ndarray], *names: str) -> np.ndarray:
     raise ValueError(f"none of the outputs {names} among {sorted(out)}")
 
 
-def run_fragments(runner: Runner, seq: Sequence_, tasks: Sequence[Task], width: int, semantics: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(task number, scores [slots, words, width, labels] or, of a classification, logits [labels]) of one text.
-
-    V2 has fragments for gathering, arg-max and scoring and predicts a count for every task first; V1
-    leaves those to its host and classifies without a count.
-    """
-    v2 = semantics == "v2"
-    x = np.array([seq.ids], dtype=np.int64)
-    given = {"input_ids": x, "attention_mask": np.ones_like(x)}
-    hidden = _one(runner.run("encoder", given if v2 else {k: v for k, v in given.items() if k in runner.inputs("encoder")}), "last_hidden_state", "hidden_states", "output")
+def _spans(runner: Runner, hidden: np.ndarray, seq: Sequence_, width: int, v2: bool) -> np.ndarray:
+    """[words, width, hidden] of all windows."""
     if v2:
         words = _one(runner.run("token_gather", {"last_hidden_state": hidden, "word_indices": np.array(seq.starts, dtype=np.int64)}), "text_embs")
     else:
@@ -122,8 +114,23 @@ def run_fragments(runner: Runner, seq: Sequence_, tasks: Sequence[Task], width:
     first = next((n for n in ("hidden_states", "last_hidden_state", "output") if n in names), "hidden_states")
     where = {"span_idx": places} if "span_idx" in names else {"span_start_idx": places[..., 0], "span_end_idx": places[..., 1]}
     spans = _one(runner.run("span_rep", {first: words, **where}), "span_embeddings", "span_representations")
-    spans = spans.reshape(len(seq.starts), width, spans.shape[-1])
-    for i, t in enumerate(tasks):
+    return spans.reshape(len(seq.starts), width, spans.shape[-1])
+
+
+def run_fragments(runner: Runner, seq: Sequence_, tasks: Sequence[Task], width: int, semantics: str, classes: bool | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(task number, scores [slots, words, width, labels] or, of a classification, logits [labels]) of one text.
+
+    V2 has fragments for gathering, arg-max and scoring and predicts a count for every task first; V1
+    leaves those to its host and classifies without a count. ``classes`` asks for classifications only or
+    for the others only.
+    """
+    v2 = semantics == "v2"
+    x = np.array([seq.ids], dtype=np.int64)
+    given = {"input_ids": x, "attention_mask": np.ones_like(x)}
+    hidden = _one(runner.run("encoder", given if v2 else {k: v for k, v in given.items() if k in runner.inputs("encoder")}), "last_hidden_state", "hidden_states", "output")
+    wanted = [(i, t) for i, t in enumerate(tasks) if classes is None or classes == (t.kind == "classifications")]
+    spans = _spans(runner, hidden, seq, width, v2) if any(t.kind != "classifications" for _, t in wanted) else np.zeros(0)
+    for i, t in wanted:
         head, fields = seq.heads[i], seq.fields[i]
         if v2:
             g = runner.run("schema_gather", {"last_hidden_state": hidden, "schema_indices": np.array([head, *fields], dtype=np.int64)})
@@ -171,13 +178,13 @@ class GraphBackend:
         return GraphBackend(model_files(folder), tokenizer_file(folder))
 
     def span_scores(self, words: DataFrame, tasks: Sequence[Task], threshold: float | Column, max_width: int, padding: str, semantics: str) -> DataFrame:
-        rows = self._run(words, tasks, threshold, max_width, padding, semantics).filter("not is_class").drop("is_class")
+        rows = self._run(words, tasks, threshold, max_width, padding, semantics, False).drop("is_class")
         return rows.join(words.select("id", "_flat").distinct(), "id") if "_flat" in words.columns else rows
 
     def class_logits(self, words: DataFrame, tasks: Sequence[Task], semantics: str) -> DataFrame:
-        return self._run(words, tasks, 1.0, 1, "mask", semantics).filter("is_class").select("id", "task_idx", "label_idx", "label", "logit")
+        return self._run(words, tasks, 1.0, 8, "mask", semantics, True).select("id", "task_idx", "label_idx", "label", "logit")
 
-    def _run(self, words: DataFrame, tasks: Sequence[Task], threshold: float | Column, width: int, padding: str, semantics: str) -> DataFrame:
+    def _run(self, words: DataFrame, tasks: Sequence[Task], threshold: float | Column, width: int, padding: str, semantics: str, classes: bool) -> DataFrame:
         runner_, encoder_ = self.runner, self.encoder
         pieces, heads, fields = assemble(tasks)
         cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
@@ -194,7 +201,7 @@ class GraphBackend:
                 for i, ws, cut in zip(b["id"].tolist(), b["w"], b["cut"].tolist(), strict=True):
                     ws = [w if isinstance(w, dict) else w.asDict() for w in ws]
                     seq = build_sequence(prompt, heads, fields, encode([w["word"] for w in ws]), edge)
-                    for t, out in run_fragments(runner, seq, tasks, width, semantics):
+                    for t, out in run_fragments(runner, seq, tasks, width, semantics, classes):
                         if out.ndim == 1:
                             rows += [(i, t, True, *[None] * 4, m, x, float(out[m]), *[None] * 9) for m, x in enumerate(tasks[t].labels)]
                             continue
