@@ -128,9 +128,13 @@ class NaiveBayes:
         languages = sorted(set(labels))
         at = {x: i for i, x in enumerate(languages)}
         counts = np.zeros((len(languages), buckets), dtype=np.float32)
+        words = [Counter() for _ in languages]
         for ws, y in zip(docs, labels, strict=True):
-            if ws:
-                np.add.at(counts[at[y]], np.concatenate([word_grams(w, buckets) for w in ws]), 1)
+            words[at[y]].update(ws)
+        for row, seen in zip(counts, words, strict=True):
+            if seen:
+                grams = [word_grams(w, buckets) for w in seen]
+                row += np.bincount(np.concatenate(grams), np.repeat(list(seen.values()), [len(g) for g in grams]), buckets)
         counts += np.maximum(alpha * counts.sum(axis=1, keepdims=True) / buckets, 1e-6)
         n = np.array([(rows or Counter(labels))[x] for x in languages], dtype=np.float64) + 1
         return NaiveBayes(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(n / n.sum()))
