@@ -352,3 +352,21 @@ def test_frozen_scores(spark):
     assert r["head"]["text"] == "Anna Bell" and r["head"]["score"] == 0.993307 and r["relation_type"] == "head" and r["task_name"] == "r"
     c = ExtractionEngine(semantics="v1").extract(df(spark, ["a"]), [T.classifications("x", "p", "p2")], "id", "text").classifications.first()
     assert c["label"] in ("p", "p2") and 0.5 <= c["score"] <= 1
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_asof_of_empty_sides_and_clashing_names(spark, small):
+    a = spark.createDataFrame([("x", 5, 1)], "_t string, t int, _p int")
+    b = spark.createDataFrame([(4, 7)], "u int, _v int")
+    most = 100 if small else 0
+    assert [tuple(r) for r in joins.asof(a, b, "t", "u", ["_v"], most_broadcast=most).collect()] == [("x", 5, 1, 7)]
+    assert [tuple(r) for r in joins.asof(a, b.limit(0), "t", "u", ["_v"], most_broadcast=most).collect()] == [("x", 5, 1, None)]
+    assert joins.asof(a.limit(0), b, "t", "u", ["_v"], most_broadcast=most).count() == 0
+    late = spark.createDataFrame([(4, 7), (4, 9)], "u int, _v int")
+    assert joins.asof(a, late, "t", "u", ["_v"], most_broadcast=most).first()["_v"] == 9
+
+
+def test_texts_with_extra_columns_and_ties(spark):
+    d = spark.createDataFrame([(1, "Anna Bell", "z", 3), (1, "Anna Bell", "z", 4), (None, "Carl Jones", None, 5)], "id bigint, text string, word string, pos int")
+    e = ExtractionEngine().extract(d.filter("pos <> 4"), [T.entities("person")], "id", "text", 0.9).entities
+    assert {r["id"] for r in e.collect()} == {1, None}
