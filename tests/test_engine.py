@@ -370,3 +370,38 @@ def test_texts_with_extra_columns_and_ties(spark):
     d = spark.createDataFrame([(1, "Anna Bell", "z", 3), (1, "Anna Bell", "z", 4), (None, "Carl Jones", None, 5)], "id bigint, text string, word string, pos int")
     e = ExtractionEngine().extract(d.filter("pos <> 4"), [T.entities("person")], "id", "text", 0.9).entities
     assert {r["id"] for r in e.collect()} == {1, None}
+
+
+class Scores:
+    """The lexical backend without its features."""
+
+    def __init__(self):
+        b = ExtractionEngine().backend
+        for x in ("count_slots", "slot_step", "start_scores", "end_scores", "width_scores", "end_bounds", "counted"):
+            setattr(self, x, getattr(b, x))
+
+
+@pytest.mark.parametrize("mode", [{}, {"semantics": "v1"}, {"padding": "mask", "max_width": 3}, {"backend": Scores()}])
+@pytest.mark.parametrize("flat", [False, True])
+def test_results_of_all_tasks_without_sorting_candidates(spark, mode, flat):
+    """One pass inside batches of words gives what the plans of single tasks give, and nothing that could be spilled."""
+    d = df(spark, ["  Anna Bell   met　Carl Jones \n in Rome, 漢字 Éva Ω 12/05/1990 a.b@c.de ", "A", "only small words", " ", None, " ".join(["Anna Bell X12"] * 8), "Dora Fox"])
+    tasks = [T.entities("person", "date", "person"), T.relations("r", "head", "tail", "head", "other"), T.classifications("c", "a", "b", "b2"), T.entities("person", "email")]
+    threshold = F.array(*[F.lit(x) for x in (0.0, 0.9, 1.0)])[F.when(F.col("id") == 0, 0).when(F.col("id") == 1, 2).otherwise(1)]
+    out = ExtractionEngine(**mode).extract(d, tasks, "id", "text", threshold, F.col("id") % 2 == 0 if flat else False)
+    known = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # texts go on from batch to batch
+    try:
+        rows = out.results.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", known)
+    own = ("id", "task_idx")
+    each = [
+        out.entities.selectExpr(*own, "'entity' kind", "label", "text", "score"),
+        out.relations.selectExpr(*own, "'relation' kind", "relation_type label", "head.text || ' -> ' || tail.text text", "head.score score"),
+        out.classifications.selectExpr(*own, "'class' kind", "label", "cast(null as string) text", "score"),
+    ]
+    assert sorted(map(repr, rows)) == sorted(repr(r) for e in each for r in e.collect())
+    assert {r["kind"] for r in rows} >= ({"entity", "class"} if flat else {"entity", "relation", "class"})
+    plan = out.results._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan

@@ -38,6 +38,17 @@ class Backend(Protocol):
         """int: what a word adds to the predicted count of its text."""
 
 
+@runtime_checkable
+class LinearBackend(Backend, Protocol):
+    """A backend whose start_scores and end_scores are sums of weighted features, of which there are few."""
+
+    def features(self, word: Column) -> Column:
+        """array<int>: the features of a word."""
+
+    def feature_weights(self, labels: Sequence[str], last: bool) -> list[tuple[int, ...]]:
+        """By label what the features of a first, or of a last, word weigh."""
+
+
 @runtime_checkable
 class SpanBackend(Protocol):
     def span_scores(self, words: DataFrame, tasks: Sequence[Task], threshold: float | Column, max_width: int, padding: str, semantics: str) -> DataFrame:

@@ -56,6 +56,12 @@ class LexicalBackend:
                 out = out + f * w
         return out
 
+    def features(self, word: Column) -> Column:
+        return F.array(*self._features(word))
+
+    def feature_weights(self, labels: Sequence[str], last: bool) -> list[tuple[int, ...]]:
+        return [weights(x)[int(last)] for x in labels]
+
     def start_scores(self, word: Column, labels: Sequence[str]) -> Column:
         return F.array(*[self._dot(word, weights(x)[0]) for x in labels])
 

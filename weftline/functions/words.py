@@ -26,6 +26,16 @@ def bare(spaced: Column) -> Column:
     return F.regexp_replace(spaced, r"(?U)^\s+", "")
 
 
+def exploded(df: DataFrame, id_col: str, text_col: str, keep: Mapping[str, Column] | None = None) -> DataFrame:
+    """id, the columns ``keep``, pos, spaced, word; one row per word, the words of a text one after another.
+
+    Texts are placed by id before they are exploded.
+    """
+    more = list(keep or {})
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in (keep or {}).items()]).filter("text is not null").repartition("id")
+    return texts.select("id", *more, F.posexplode(spaced_words(F.col("text"))).alias("pos", "spaced")).withColumn("word", bare(F.col("spaced")))
+
+
 def word_table(df: DataFrame, id_col: str, text_col: str, keep: Mapping[str, Column] | None = None) -> DataFrame:
     """id, pos, word, spaced, char_start, char_end, byte_start, byte_end and the columns ``keep``; one row per word.
 
@@ -34,8 +44,7 @@ def word_table(df: DataFrame, id_col: str, text_col: str, keep: Mapping[str, Col
     need no further exchange.
     """
     more = list(keep or {})
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in (keep or {}).items()]).filter("text is not null").repartition("id")
-    m = texts.select("id", *more, F.posexplode(spaced_words(F.col("text"))).alias("pos", "spaced")).withColumn("word", bare(F.col("spaced")))
+    m = exploded(df, id_col, text_col, keep)
     up_to = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = m.withColumns({"char_end": F.sum(F.length("spaced")).over(up_to), "byte_end": F.sum(F.octet_length("spaced")).over(up_to)})
     return ends.select(

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from weftline.backends.base import Backend, SpanBackend
 from weftline.backends.lexical import LexicalBackend
-from weftline.functions.words import word_table
-from weftline.operators import decode, prompt, spans
+from weftline.functions.words import exploded, word_table
+from weftline.operators import decode, onepass, prompt, spans
 from weftline.tasks import Task
 
 
@@ -58,9 +58,10 @@ class ExtractionEngine:
         keep = {n: c for n, c in (("_threshold", threshold), ("_flat", flat_ner)) if isinstance(c, Column)}
         words = self.words(df, tasks, id_col, text_col, keep)
         at = {k: [i for i, t in enumerate(tasks) if t.kind == k] for k in ("entities", "relations", "classifications")}
+        limit, mode = F.col("_threshold") if "_threshold" in keep else threshold, F.col("_flat") if "_flat" in keep else flat_ner
         entities = relations = classes = results = None
         if at["entities"] or at["relations"]:
-            kept = self._spans(words, tasks, F.col("_threshold") if "_threshold" in keep else threshold, F.col("_flat") if "_flat" in keep else flat_ner, list(keep))
+            kept = self._spans(words, tasks, limit, mode, list(keep))
             group = ["id", "task_idx", "_slot"]
             if at["entities"]:
                 entities = kept.filter(F.col("task_idx").isin(at["entities"])).drop("_slot")
@@ -71,6 +72,9 @@ class ExtractionEngine:
             classes = self._classify(words, tasks)
             rows = classes.select("id", "task_idx", F.lit("class").alias("kind"), "label", F.lit(None).cast("string").alias("text"), "score")
             results = rows if results is None else results.unionByName(rows)
+        if tasks and not isinstance(self.backend, SpanBackend):
+            plain = exploded(df, id_col, text_col, keep)
+            results = onepass.results(plain, tasks, self.backend, limit, mode, self.max_width, self.padding, self.semantics)
         return Extraction(entities, relations, classes, results)
 
     def _spans(self, words: DataFrame, tasks: Sequence[Task], threshold: float | Column, flat: bool | Column, keep: list[str]) -> DataFrame:
